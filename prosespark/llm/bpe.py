@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a worker remembers; the memory is emptied beyond that.
-MEMORY = 300_000
+MEMORY = 800_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: White space of Unicode's White_Space property: what separates words here.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -44,6 +44,19 @@ def byte_symbols() -> list[str]:
     return [chr(x) if x in plain else chr(next(spare)) for x in range(256)]
 
 
+def normalised_words(text: str) -> list[str]:
+    """Normalised words of a text without special tokens: NFC, white space, lower case letter by letter."""
+    if not text.isascii():
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:
+            text = text.replace("Σ", "σ")  # str.lower would look at what follows
+    low = text.lower()
+    if ODD.search(low):
+        return [x for x in SPLIT.split(low) if x]
+    return low.split()
+
+
 class MergeAutomaton:
     """Arcs between tokens, compiled from merges in order of rank."""
 
@@ -105,30 +118,45 @@ class Encoder:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {t: i for t, i in self.vocab.items() if self.automaton.born[i] >= 0 or len(t.removesuffix(self.end)) == 1}
         self.longest = max((len(t.removesuffix(self.end)) for t in self.tokens), default=0)
+        # lengths of the tokens that end alike, longest first: inside a word, and at its end
+        self.inside, self.final = self._lengths(""), self._lengths(self.end)
         self.by_prefix: dict[str, tuple[int, ...]] = {}
         self.by_piece: dict[str, tuple[int, ...]] = {}
         self.by_word: dict[str, tuple[str, str]] = {}
 
+    def _lengths(self, end: str) -> dict[str, list[int]]:
+        out: dict[str, set[int]] = {}
+        for t in self.tokens:
+            if t.endswith(self.end) == bool(end):
+                bare = t.removesuffix(end)
+                out.setdefault(bare[-2:], set()).add(len(bare))
+        single = {k for k in out if len(k) == 1}
+        return {k: sorted(v | ({1} if k[-1] in single else set()), reverse=True) for k, v in out.items()} | {k: [1] for k in single}
+
     def _open(self, s: str) -> tuple[int, ...]:
         """The labels that lead through s, the beginning of a word."""
         found = self.by_prefix.get(s)
         if found is None:
             if len(self.by_prefix) >= MEMORY:
                 self.by_prefix.clear()
-            found = self.by_prefix[s] = self._step(s, s)
+            found = self.by_prefix[s] = self._step(s, "", self.inside)
         return found
 
-    def _step(self, s: str, last: str) -> tuple[int, ...]:
-        """The labels before the last arc through s, and that arc; last is s as the vocabulary writes its end."""
-        tokens, arc = self.tokens, self.automaton.arc
-        for j in range(max(0, len(s) - self.longest), len(s)):
-            token = tokens.get(last[j:])
-            if token is not None:
-                if j == 0:
+    def _step(self, s: str, end: str, lengths: dict[str, list[int]]) -> tuple[int, ...]:
+        """The labels before the last arc through s, and that arc."""
+        tokens, arcs, size, n = self.tokens, self.automaton.arcs, self.automaton.size, len(s)
+        for m in lengths.get(s[-2:]) or lengths.get(s[-1:], ()):
+            if m < n:
+                token = tokens.get(s[n - m :] + end)
+                if token is not None:
+                    before = self._open(s[: n - m])
+                    live = arcs.get(before[-1] * size + token)
+                    if live or (live is None and self.automaton.arc(before[-1], token)):
+                        return (*before, token)
+            elif m == n:
+                token = tokens.get(s + end)
+                if token is not None:
                     return (token,)
-                before = self._open(s[:j])
-                if arc(before[-1], token):
-                    return (*before, token)
         raise ValueError(f"the vocabulary has no symbols for {s!r}")
 
     def _long(self, s: str) -> tuple[int, ...]:
@@ -153,24 +181,12 @@ class Encoder:
         found = self.by_piece.get(piece)
         if found is None:
             s = piece if piece.isascii() and piece.isprintable() else "".join([self.symbols[b] for b in piece.encode("utf-8", "replace")])
-            found = self._long(s) if len(s) > 40 else self._step(s, s + self.end)
+            found = self._long(s) if len(s) > 40 else self._step(s, self.end, self.final)
             if len(self.by_piece) >= MEMORY:
                 self.by_piece.clear()
             self.by_piece[piece] = found
         return found
 
-    def words(self, text: str) -> list[str]:
-        """Normalised words of a text without special tokens: NFC, white space, lower case."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")  # str.lower would look at what follows
-        low = text.lower()
-        if ODD.search(low):
-            return [x for x in SPLIT.split(low) if x]
-        return low.split()
-
     def encode_word(self, word: str) -> tuple[int, ...]:
         return tuple([i for p in self.pieces(word) for i in self.encode_piece(p)])
 
@@ -189,7 +205,7 @@ class Encoder:
             if special:
                 out.append(self.special[part])
             else:
-                for w in self.words(part):
+                for w in normalised_words(part):
                     out += self.encode_word(w)
         return out
 
@@ -212,7 +228,7 @@ class Encoder:
             if special:
                 ids.append(str(self.special[part]))
                 decoded.append(part)
-            elif words := self.words(part):
+            elif words := normalised_words(part):
                 try:
                     got = list(map(self.by_word.__getitem__, words))
                 except KeyError:

@@ -24,23 +24,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosespark.llm.bpe import ODD, SPLIT
+from prosespark.llm.bpe import byte_symbols, normalised_words
 from prosespark.llm.common import materialize, scratch_path
 
-END_ID, LENGTH, BATCH, MEMORY = 2, 2048, 64, 300_000
+END_ID, LENGTH, BATCH, MEMORY = 2, 2048, 64, 1_200_000
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each different word.
+    """The tokenizers library, its model asked once for each different word.
 
-    The file's pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn.
-    What the normaliser does across words (NFC) is done to the whole text first; texts that hold a special token's
-    text, and files that are made otherwise, go through the library whole.
+    The file's pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn:
+    words are normalised and cut as the file says, and the library's model gives a piece's ids. Texts that hold a
+    special token's text, and files that are made otherwise, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -51,30 +52,39 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.loads(self.library.to_str())
-        splits = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        self.by_words = bool(splits) and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and r"[^\s" in splits[0]["pattern"].get("Regex", "")
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_words = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.by_words else None
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.symbols = byte_symbols()
+        self.model = self.library.model
         self.memory: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        ids: list[int] = []
+        for p in self.pieces(word):
+            plain = p if p.isascii() and p.isprintable() else "".join([self.symbols[x] for x in p.encode("utf-8", "replace")])
+            ids += [x.id for x in self.model.tokenize(plain)]
+        return array(self.code, ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of one text in machine order."""
-        if not self.by_words or any(x in text for x in self.special):
+        if not self.by_words or ("<" in text and any(x in text for x in self.special)):
             return self._whole(text)
-        if not text.isascii():
-            text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        words = [x for x in SPLIT.split(text) if x] if ODD.search(text) else text.split()
+        words = normalised_words(text)
         try:
             return b"".join(map(self.memory.__getitem__, words))
         except KeyError:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            new = list(dict.fromkeys(w for w in words if w not in self.memory))
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memory[w] = array(self.code, e.ids).tobytes()
+            for w in words:
+                if w not in self.memory:
+                    self.memory[w] = self._word(w)
             return b"".join(map(self.memory.__getitem__, words))
 
 
