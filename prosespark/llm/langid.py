@@ -88,8 +88,8 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-#: Set on table entries whose step ends a phrase.
-END = np.int32(1 << 30)
+#: Table entries hold, above this bit, how many phrases their step ends: the open one, and one of an unknown letter.
+COUNT_BIT = 28
 
 
 class CrossParser:
@@ -102,8 +102,11 @@ class CrossParser:
         for lang in self.langs:
             codes = self.coder(samples[lang])
             arcs = suffix_automaton(codes, self.coder.size)
-            again = np.where(arcs[0] >= 0, arcs[0], 0) + base | END
-            tables.append(np.where(arcs >= 0, arcs + base, again))
+            known = arcs[0] >= 0
+            again = (np.where(known, arcs[0], 0) + base) | (np.where(known, 1, 2) << COUNT_BIT)
+            rows = np.where(arcs >= 0, arcs + base, again)
+            rows[0] = np.where(known, arcs[0] + base, base | (1 << COUNT_BIT))  # no phrase is open here
+            tables.append(rows)
             self.starts.append(base)
             self.bits.append(math.log2(max(2, codes.size)))
             base += len(arcs)
@@ -127,12 +130,11 @@ class CrossParser:
         for j in range(sizes[0]):
             live = alive[j]
             step = self.table.take(state[:, :live] * size + grid[j, :live])
-            over = step & END
-            ends[:, :live] += over >> 30
-            state[:, :live] = step ^ over
+            ends[:, :live] += step >> COUNT_BIT
+            state[:, :live] = step & ((1 << COUNT_BIT) - 1)
         owner = np.array([i for i, _ in pieces])
         for k in range(n):
-            out[:, k] = np.bincount(owner, ends[k] + 1, minlength=len(docs))
+            out[:, k] = np.bincount(owner, ends[k] + (state[k] != self.starts[k]), minlength=len(docs))
         return out
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from prosespark.llm.bpe import byte_symbols, normalised_words
 from prosespark.llm.common import materialize, scratch_path
 
-END_ID, LENGTH, BATCH, MEMORY = 2, 2048, 64, 1_200_000
+END_ID, LENGTH, BATCH, MEMORY = 2, 2048, 64, 500_000
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -119,7 +119,7 @@ class SequenceWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.rest), self.dtype)
-        keep = ids.size if last else ids.size - ids.size % self.length
+        keep = ids.size if last else ids.size - ids.size % (self.length * BATCH)  # all batches but the last are full
         rows = -(-keep // self.length)
         grid, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, bool)
         grid[:keep], mask[:keep] = ids[:keep], True
