@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosespark.functions import fixed
+from prosespark.functions.text import let
 
 
 def _phrase(words: tuple[str, ...], space: str) -> str:
@@ -122,7 +123,7 @@ def multiset(atoms: Column) -> Column:
 
 def counts(atoms: Column) -> Column:
     """(atom, n) of each distinct atom, sorted."""
-    return F.transform(F.array_sort(F.array_distinct(atoms)), lambda a: F.struct(a.alias("atom"), F.size(F.filter(atoms, lambda b: b == a)).alias("n")))
+    return let(atoms, lambda xs: F.transform(F.array_sort(F.array_distinct(xs)), lambda a: F.struct(a.alias("atom"), F.size(F.filter(xs, lambda b: b == a)).alias("n"))))
 
 
 def new_claims(original: Column, revision: Column, allowed: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,24 +58,32 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression that a lambda mentions is computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def line_units(text: Column) -> Column:
     """Plain-text units: runs of lines that aren't blank, as (text, line_start, line_end)."""
-    lines = F.split(text, "\n", -1)
-    n = F.size(lines)
-    # the places of blank lines, with one before the first line and one after the last
-    stops = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i > n) | is_blank(F.coalesce(F.get(lines, i - 1), F.lit("")))))
-    spans = F.filter(F.zip_with(stops, F.slice(stops, 2, F.size(stops)), lambda a, b: F.struct((a + 1).alias("a"), (b - 1).alias("b"))), lambda s: s["b"] >= s["a"])
-    units = F.transform(
-        spans,
-        lambda s: F.struct(
-            strip(strip_urls(F.array_join(F.transform(F.slice(lines, s["a"], s["b"] - s["a"] + 1), strip), " "))).alias("text"),
-            s["a"].cast("int").alias("line_start"),
-            s["b"].cast("int").alias("line_end"),
-            F.lit("paragraph").alias("structural_type"),
-            F.lit(False).alias("is_label"),
-        ),
-    )
-    return F.when(text.isNotNull(), F.filter(units, lambda u: u["text"] != ""))
+
+    def units(lines: Column) -> Column:
+        n = F.size(lines)
+        # the places of blank lines, with one before the first line and one after the last
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(is_blank(x), i + 1)), lambda i: i.isNotNull())
+        stops = F.concat(F.array(F.lit(0)), blank, F.array(n + 1))
+        spans = F.filter(F.zip_with(F.slice(stops, F.lit(1), F.size(stops) - 1), F.slice(stops, F.lit(2), F.size(stops) - 1), lambda a, b: F.struct((a + 1).alias("a"), (b - 1).alias("b"))), lambda s: s["b"] >= s["a"])
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                strip(strip_urls(F.array_join(F.transform(F.slice(lines, s["a"], s["b"] - s["a"] + 1), strip), " "))).alias("text"),
+                s["a"].cast("int").alias("line_start"),
+                s["b"].cast("int").alias("line_end"),
+                F.lit("paragraph").alias("structural_type"),
+                F.lit(False).alias("is_label"),
+            ),
+        )
+
+    return F.when(text.isNotNull(), F.filter(let(F.split(text, "\n", -1), units), lambda u: u["text"] != ""))
 
 
 def unit_sentences(units: Column) -> Column:

@@ -17,7 +17,12 @@ DECISIONS = ("REJECT", "ASK", "SURFACE", "ACCEPT")
 
 def decoded(c: Column) -> Column:
     """Bytes as text, what isn't UTF-8 replaced."""
-    return F.decode(c, "UTF-8") if False else F.make_valid_utf8(c.cast("string"))
+    return F.make_valid_utf8(c.cast("string"))
+
+
+def revised(cases: DataFrame) -> DataFrame:
+    """doc_id, content, edits, rev: the script spliced in once a case, before any join multiplies its rows."""
+    return cases.select("doc_id", "content", "edits", E.apply(F.col("content"), F.col("edits")).alias("rev"))
 
 
 def locality(cases: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -30,27 +35,26 @@ def locality(cases: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def protected_intact(cases: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, start_byte, end_byte, ok: each protected span's bytes are unchanged in the revision."""
-    rows = spans.join(cases.select("doc_id", "content", "edits"), "doc_id")
+    rows = spans.join(revised(cases), "doc_id")
     a, b = E.map_offset(F.col("edits"), F.col("start_byte")), E.map_offset(F.col("edits"), F.col("end_byte"))
-    rows = rows.withColumn("__rev", E.apply(F.col("content"), F.col("edits"))).withColumn("__a", a).withColumn("__b", b)
-    same = F.sha2(E.piece(F.col("__rev"), F.col("__a"), F.col("__b")), 256) == F.col("sha256")
+    rows = rows.withColumn("__a", a).withColumn("__b", b)
+    same = F.sha2(E.piece(F.col("rev"), F.col("__a"), F.col("__b")), 256) == F.col("sha256")
     return rows.select("doc_id", "start_byte", "end_byte", F.coalesce(same, F.lit(False)).alias("ok"))
 
 
 def new_claims(cases: DataFrame, allowed: Column | None = None) -> DataFrame:
     """doc_id, category, atom of claims that a revision adds."""
     none = F.array().cast("array<string>")
-    rows = cases.withColumn("__rev", E.apply(F.col("content"), F.col("edits")))
-    found = A.new_claims(decoded(F.col("content")), decoded(F.col("__rev")), none if allowed is None else allowed)
-    return rows.where("__rev is not null").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    rows = cases.withColumn("rev", E.apply(F.col("content"), F.col("edits")))
+    found = A.new_claims(decoded(F.col("content")), decoded(F.col("rev")), none if allowed is None else allowed)
+    return rows.where("rev is not null").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
 def preservation(cases: DataFrame, regions: DataFrame) -> DataFrame:
     """doc_id, region_idx, check, ok: each region's atoms are the same multiset in the revision."""
-    rows = regions.select("doc_id", "region_idx", "start_byte", "end_byte", "checks").join(cases.select("doc_id", "content", "edits"), "doc_id")
+    rows = regions.select("doc_id", "region_idx", "start_byte", "end_byte", "checks").join(revised(cases), "doc_id")
     a, b = E.map_offset(F.col("edits"), F.col("start_byte")), E.map_offset(F.col("edits"), F.col("end_byte"))
-    rows = rows.withColumn("__rev", E.apply(F.col("content"), F.col("edits")))
-    rows = rows.withColumn("__o", decoded(E.piece(F.col("content"), F.col("start_byte"), F.col("end_byte")))).withColumn("__r", decoded(E.piece(F.col("__rev"), a, b)))
+    rows = rows.withColumn("__o", decoded(E.piece(F.col("content"), F.col("start_byte"), F.col("end_byte")))).withColumn("__r", decoded(E.piece(F.col("rev"), a, b)))
     rows = rows.select("doc_id", "region_idx", "__o", "__r", F.explode("checks").alias("check"))
     same = F.lit(False)
     for name, extract in A.CHECKS.items():
@@ -60,12 +64,12 @@ def preservation(cases: DataFrame, regions: DataFrame) -> DataFrame:
 
 def layer2(cases: DataFrame, entries: DataFrame) -> DataFrame:
     """doc_id, entry_id, status, code, disposition, hunks of ledger entries that the script touches."""
-    rows = entries.join(cases.select("doc_id", "content", "edits"), "doc_id")
     s, t, e = F.col("start_byte"), F.col("end_byte"), F.col("edits")
-    rows = rows.withColumn("status", E.region_status(e, s, t)).where("status <> 'unchanged'")
-    rows = rows.withColumn("__rev", E.apply(F.col("content"), e))
-    revised = decoded(E.piece(F.col("__rev"), E.map_offset(e, s), E.map_offset(e, t)))
-    rows = rows.withColumn("__after", F.when(F.col("status") == "modified", L.extracted(F.col("kind"), revised)))
+    # texts join only the entries that a script touches
+    rows = entries.join(cases.select("doc_id", "edits"), "doc_id").withColumn("status", E.region_status(e, s, t)).where("status <> 'unchanged'")
+    rows = rows.join(revised(cases).select("doc_id", "rev"), "doc_id")
+    after = decoded(E.piece(F.col("rev"), E.map_offset(e, s), E.map_offset(e, t)))
+    rows = rows.withColumn("__after", F.when(F.col("status") == "modified", L.extracted(F.col("kind"), after)))
     code = (
         F.when(F.col("status") == "deleted", F.lit("entry_dropped"))
         .when(F.col("status") == "ambiguous", F.lit("entry_unmappable"))
@@ -85,19 +89,19 @@ def verify(cases: DataFrame, entries: DataFrame, spans: DataFrame, ranges: DataF
     base = cases.withColumn("problems", E.problems(F.col("content"), F.col("edits")))
     good = base.where(F.size("problems") == 0)
     count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    l2 = layer2(good, entries)
     parts = {
-        "n_protected": protected_intact(good, spans).where("not ok"),
-        "n_claims": new_claims(good),
-        "n_outside": locality(good, ranges).where("not ok"),
-        "n_reject": l2.where("disposition = 'reject'"),
-        "n_ask": l2.where("disposition = 'ask'"),
+        "n_protected": count(protected_intact(good, spans).where("not ok"), "n_protected"),
+        "n_claims": count(new_claims(good), "n_claims"),
+        "n_outside": count(locality(good, ranges).where("not ok"), "n_outside"),
+        "n_reject": layer2(good, entries).groupBy("doc_id").agg(F.count_if(F.col("disposition") == "reject").alias("n_reject"), F.count_if(F.col("disposition") == "ask").alias("n_ask")),
     }
+    names = ("n_protected", "n_claims", "n_outside", "n_reject", "n_ask")
     known = F.coalesce(F.col("has_ranges"), F.lit(False)) if "has_ranges" in cases.columns else F.lit(True)
     said = F.col(verdict) if verdict else F.lit(None).cast("string")
     rows = base.select("doc_id", "problems", known.alias("__known"), (F.size("edits") > 0).alias("__some"), (F.when(said.isin("real", "ambiguous", "clean"), said).otherwise(F.lit("ambiguous")) if verdict else F.lit("not_run")).alias("semantic_status"))
-    for name, df in parts.items():
-        rows = rows.join(count(df, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    for part in parts.values():
+        rows = rows.join(part, "doc_id", "left")
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(0)).cast("bigint") for name in names})
     rows = rows.withColumn("n_outside", F.when(F.col("__known"), F.col("n_outside")).otherwise(F.lit(0).cast("bigint")))
     hard = F.col("n_protected") + F.col("n_claims") + F.col("n_outside") + F.col("n_reject") > 0
     decision = (
@@ -109,7 +113,7 @@ def verify(cases: DataFrame, entries: DataFrame, spans: DataFrame, ranges: DataF
         .otherwise(F.lit("ACCEPT"))
     )
     out = rows.withColumn("decision", decision)
-    return out.select("doc_id", F.size("problems").cast("bigint").alias("n_problems"), *parts, "semantic_status", "decision", ((F.col("decision") == "ACCEPT") & (F.col("semantic_status") == "clean")).alias("shippable"))
+    return out.select("doc_id", F.size("problems").cast("bigint").alias("n_problems"), *names, "semantic_status", "decision", ((F.col("decision") == "ACCEPT") & (F.col("semantic_status") == "clean")).alias("shippable"))
 
 
 def hunk_decisions(cases: DataFrame, l2: DataFrame) -> DataFrame:
