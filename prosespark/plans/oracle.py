@@ -256,6 +256,59 @@ FEEDBACK_PROBLEMS = """SELECT event_id, concat_ws(',', CASE WHEN k % 11 = 0 THEN
   CASE WHEN k % 4 = 0 AND k % 3 <> 0 THEN 'alternative_not_allowed' END, CASE WHEN k % 29 = 0 THEN 'reason' END) AS problems FROM (SELECT event_id, event_id AS k FROM events)"""
 
 
+def _has(pattern: str, flags: str = "(?i)") -> str:
+    return f"regexp_matches({folded('seg')}, {q(flags + pattern)})"
+
+
+def _n(pattern: str, flags: str = "(?i)") -> str:
+    return f"len(regexp_extract_all({folded('seg')}, {q(flags + pattern)}))"
+
+
+_MODAL = _phrase(fixed.MODALS, r"\s+")
+CHECKS = f"""segs AS (SELECT doc_id, unnest(p) AS piece, unnest(range(0, len(p))) AS k FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])(\\s+)', '\\1' || chr(31) || '\\2', 'g'), '(\\n[ \\t]*\\n)', chr(31) || '\\1', 'g'), chr(31)) AS p FROM s)),
+placed AS (SELECT doc_id, k, {trimmed("piece")} AS seg, coalesce(sum(octet_length(encode(piece))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + octet_length(encode(piece)) - octet_length(encode(regexp_replace(piece, '^\\s+', ''))) AS start_byte FROM segs),
+checked AS (SELECT *, regexp_matches(seg, '\\d') AS number, {_has(_MODAL)} AS modal, {_has(fixed.NEGATION)} AS neg, {_has(fixed.CONDITION)} AS cond, {_has(fixed.CITATION, "")} OR {_has(fixed.URL)} AS refs, {_has(fixed.DEFINED_TERM)} AS term FROM placed WHERE seg <> ''),
+regions AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS region_idx FROM checked WHERE number OR modal OR neg OR cond OR refs OR term)"""
+REGIONS = f"""{SEASON}, {CHECKS} SELECT doc_id, region_idx, start_byte::BIGINT AS start_byte, (start_byte + octet_length(encode(seg)))::BIGINT AS end_byte,
+concat_ws(',', CASE WHEN number THEN 'numbers,units' END, CASE WHEN modal THEN 'modality' END, CASE WHEN neg THEN 'negation' END, CASE WHEN cond THEN 'conditions' END, CASE WHEN refs THEN 'cross_refs' END, CASE WHEN term THEN 'defined_terms' END) AS checks FROM regions"""
+_SIZES = {"number_or_quantity": f"len(regexp_extract_all(seg, {q(fixed.QUANTITY)}))", "normative_statement": f"{_n(_MODAL)} + {_n(fixed.NEGATION)}", "condition": _n(fixed.CONDITION), "cross_reference": f"{_n(fixed.CITATION, '')} + {_n(fixed.URL)}", "defined_term": "1"}
+_FLAG = {"numbers": "number", "units": "number", "modality": "modal", "negation": "neg", "conditions": "cond", "cross_refs": "refs", "defined_terms": "term"}
+ENTRIES = f"{SEASON}, {CHECKS} " + " UNION ALL ".join(
+    f"SELECT doc_id, 'e' || region_idx || '_{c}' AS entry_id, '{k}' AS kind, start_byte::BIGINT AS start_byte, (start_byte + octet_length(encode(seg)))::BIGINT AS end_byte, sha256(seg) AS text_hash, '{p}' AS preservation, {n}::BIGINT AS confidence, ({_SIZES[k]})::BIGINT AS n_extracted FROM regions WHERE {_FLAG[c]}"
+    for c, (k, p, n) in fixed.CHECK_KIND.items()
+)
+
+
+def _unit_hit(metric: str, patterns: list[tuple[str, str]], low: bool) -> str:
+    text = folded("lower(text)" if low else "text")
+    return f"SELECT doc_id, '{metric}' AS metric, line_start, line_start AS line_end FROM units WHERE " + " OR ".join(f"regexp_matches({text}, {q(f + p)})" for f, p in patterns)
+
+
+_ADJECTIVE = rf"\b(?:{'|'.join(fixed.REQUIREMENT_MODALS)})\s+(?:{'|'.join(fixed.REQUIREMENT_VERBS)})\s+(?:(?:{'|'.join(fixed.REQUIREMENT_DEGREES)})\s+)?(?:{'|'.join(fixed.REQUIREMENT_ADJECTIVES)})\b"
+#: Caps on locations don't show: a unit counts once whatever its number of matches.
+LOCATED = " UNION ALL ".join([
+    _unit_hit("negative_parallelism", NEGPAR, False),
+    _unit_hit("rule_of_three", [("", fixed.RULE_OF_THREE)], False),
+    _unit_hit("vague_attribution", [("", alternation(fixed.VAGUE_ATTRIBUTION))], True),
+    _unit_hit("stock_lexical_clusters", [("", alternation(v)) for v in fixed.STOCK_CLUSTERS.values()] + [("", p) for p in fixed.DUALITY_TEMPLATES], True),
+    _unit_hit("generic_diction", [("", alternation(fixed.BUZZWORDS)), ("", alternation(fixed.INTENSIFIERS))], True),
+    "SELECT doc_id, 'transition_clusters', line_start, line_start FROM sents WHERE regexp_matches(lower(sentence), " + q(rf"^(?:{'|'.join(fixed.TRANSITION_OPENERS)})(?:\P{{L}}|$)") + ")",
+    "SELECT doc_id, 'paragraph_sentence_count_runs', line_start, line_end FROM runs",
+    "SELECT doc_id, 'repeated_openers', line_start, line_end FROM clusters",
+    f"SELECT u.doc_id, 'adjective_requirements', u.line_start, u.line_start FROM units u JOIN classified USING (doc_id) WHERE g = 'prd' AND regexp_matches({folded('u.text')}, {q('(?i)' + _ADJECTIVE)})",
+])
+RANGES = f"""{BASE}, {STRUCTURE}, {RUNS}, {OPENERS}, located AS ({LOCATED}), advice AS ({strip_pairs()}),
+diag AS (SELECT l.* FROM located l JOIN classified c USING (doc_id) JOIN advice a ON a.metric = l.metric AND a.genre = coalesce(c.g, '{fixed.FALLBACK_GENRE}') WHERE a.recommendation = 'strip'),
+starts AS (SELECT doc_id, n AS line, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lines),
+sizes AS (SELECT doc_id, octet_length(encode(text)) AS size, len(string_split(text, chr(10))) AS last FROM s),
+hit AS (SELECT DISTINCT u.doc_id, a.b AS start_byte, CASE WHEN u.line_end >= z.last THEN z.size ELSE e.b END AS end_byte FROM units u JOIN sizes z USING (doc_id) JOIN starts a ON a.doc_id = u.doc_id AND a.line = u.line_start LEFT JOIN starts e ON e.doc_id = u.doc_id AND e.line = u.line_end + 1
+  WHERE EXISTS (SELECT 1 FROM diag d WHERE d.doc_id = u.doc_id AND NOT (u.line_end < d.line_start OR u.line_start > d.line_end))),
+gaps AS (SELECT *, CASE WHEN start_byte > max(end_byte) OVER (PARTITION BY doc_id ORDER BY start_byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM hit),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start_byte) AS i FROM gaps)
+SELECT doc_id, min(start_byte)::BIGINT AS start_byte, max(end_byte)::BIGINT AS end_byte FROM islands GROUP BY doc_id, i"""
+RANGES = RANGES.replace("islands AS (SELECT *, sum(new)", "merged AS (SELECT *, sum(new)").replace("FROM islands GROUP BY doc_id, i", "FROM merged GROUP BY doc_id, i").replace("gaps AS (SELECT *, CASE WHEN start_byte", "apart AS (SELECT *, CASE WHEN start_byte").replace("AS i FROM gaps)", "AS i FROM apart)")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "x1_text_units": f"{BASE} SELECT doc_id, unit_idx, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, length(text)::BIGINT AS n_chars, sha256(text) AS sha FROM units",
@@ -277,6 +330,9 @@ def oracle_sql() -> dict[str, str]:
         "g4_genres": GENRES,
         **{f"a_{k}_atoms": f"{SEASON} SELECT doc_id, atom, count(*) AS n FROM ({v}) GROUP BY 1, 2" for k, v in ATOMS.items() if v},
         "a15_new_claims": NEW_CLAIMS,
+        "l2_invariant_regions": REGIONS,
+        "l3_ledger_entries": ENTRIES,
+        "i6_authorized_ranges": RANGES,
         "e3_spliced": SPLICED,
         "l7_locality": LOCALITY,
         "c5_thresholds": f"{POINTS} SELECT * FROM fit",
