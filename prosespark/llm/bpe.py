@@ -27,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers; the memory is emptied beyond that.
-MEMORY = 800_000
+#: Words, pieces (and beginnings of pieces) and arcs that a worker remembers; each memory is emptied beyond that.
+MEMORY, PIECES, ARCS = 300_000, 120_000, 400_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: White space of Unicode's White_Space property: what separates words here.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -94,7 +94,7 @@ class MergeAutomaton:
         key = state * self.size + label
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > ARCS:
                 self.arcs.clear()
             found = self.arcs[key] = self._at(state, label, 1 << 60)
         return found
@@ -137,7 +137,7 @@ class Encoder:
         """The labels that lead through s, the beginning of a word."""
         found = self.by_prefix.get(s)
         if found is None:
-            if len(self.by_prefix) >= MEMORY:
+            if len(self.by_prefix) >= PIECES:
                 self.by_prefix.clear()
             found = self.by_prefix[s] = self._step(s, "", self.inside)
         return found
@@ -182,7 +182,7 @@ class Encoder:
         if found is None:
             s = piece if piece.isascii() and piece.isprintable() else "".join([self.symbols[b] for b in piece.encode("utf-8", "replace")])
             found = self._long(s) if len(s) > 40 else self._step(s, self.end, self.final)
-            if len(self.by_piece) >= MEMORY:
+            if len(self.by_piece) >= PIECES:
                 self.by_piece.clear()
             self.by_piece[piece] = found
         return found

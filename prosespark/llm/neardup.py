@@ -19,7 +19,7 @@ or a block of at most BLOCK shingles a side. Row order and partitions don't matt
 
 Null texts and texts without words have an empty set, are linked with nothing and are components of their own. With
 fewer words than a shingle takes the whole sequence is one. Repeated rows and equal texts are one class. Extra columns
-are ignored. Rows with a null doc_id take part but name no component unless alone (component_id null).
+are ignored. A class whose rows all lack a doc_id is linked with nothing and has a null component_id.
 """
 
 from __future__ import annotations
@@ -69,8 +69,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = text_bytes(b.column(1))
-            sets = [s for i, k in slices(np.array([len(t) for t in texts])) for s in shingle_sets(texts[i:k], width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "fp", "sketch"])
+            for i, k in slices(np.array([len(t) for t in texts])):
+                sets = shingle_sets(texts[i:k], width)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k - i), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "fp", "sketch"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, fp binary, sketch array<bigint>")
 
@@ -242,4 +243,4 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """The rows of docs that stay, one of each component, with all their columns; of repeated rows one."""
     stay = grouped(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id")).distinct()
     kept = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.dropDuplicates(["doc_id", "text"])
