@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosespark.functions import fixed
@@ -58,6 +58,16 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, whatever later filters and projections make of them.
+
+    The optimizer copies a column's expression into filters on it and into expressions that mention it. A generator of
+    one row keeps it from doing so.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: an expression that a lambda mentions is computed for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)

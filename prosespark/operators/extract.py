@@ -10,12 +10,12 @@ from prosespark.functions import text as T
 
 def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `units`, an array of (text, line_start, line_end, structural_type, is_label)."""
-    return docs.withColumn("units", T.line_units(F.col(text)))
+    return T.once(docs, units=T.line_units(F.col(text)))
 
 
 def with_sentences(docs: DataFrame) -> DataFrame:
     """docs that have units, with `sentences`: an array of (sentence, unit_idx, line_start, line_end)."""
-    return docs.withColumn("sentences", T.unit_sentences(F.col("units")))
+    return T.once(docs, sentences=T.unit_sentences(F.col("units")))
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -64,5 +64,5 @@ def byte_spans(segs: Column) -> Column:
 
 def segments(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row an invariant segment: doc_id, seg_idx, text, start_byte, end_byte."""
-    rows = docs.withColumn("__segs", T.segments(F.col(text))).select("doc_id", F.posexplode(byte_spans(F.col("__segs"))).alias("seg_idx", "s"))
+    rows = T.once(docs, __segs=T.segments(F.col(text))).select("doc_id", F.posexplode(byte_spans(F.col("__segs"))).alias("seg_idx", "s"))
     return rows.select("doc_id", "seg_idx", "s.*")

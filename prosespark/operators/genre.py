@@ -47,7 +47,7 @@ def classify(docs: DataFrame, declared_col: str | None = None, path_col: str | N
     none = F.lit(None).cast("string")
     a = declared(F.col(declared_col)) if declared_col else none
     b = from_path(F.col(path_col)) if path_col else none
-    d = docs.withColumn("__a", a).withColumn("__b", b).withColumn("__c", from_structure(F.col(text)))
+    d = T.once(docs, __a=a, __b=b, __c=from_structure(F.col(text)))
     confidence = F.when(F.col("__a").isNotNull(), F.lit("high")).when(F.coalesce("__b", "__c").isNotNull(), F.lit("medium")).otherwise(F.lit("low"))
     reason = F.when(F.col("__a").isNotNull(), F.lit("declared")).when(F.col("__b").isNotNull(), F.lit("path")).when(F.col("__c").isNotNull(), F.lit("structure")).otherwise(F.lit("fallback"))
-    return d.withColumn("genre", F.coalesce("__a", "__b", "__c", F.lit(fixed.FALLBACK_GENRE))).withColumn("genre_confidence", confidence).withColumn("genre_reason", reason).drop("__a", "__b", "__c")
+    return d.withColumns({"genre": F.coalesce("__a", "__b", "__c", F.lit(fixed.FALLBACK_GENRE)), "genre_confidence": confidence, "genre_reason": reason}).drop("__a", "__b", "__c")

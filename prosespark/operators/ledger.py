@@ -14,7 +14,7 @@ from prosespark.operators import extract
 def regions(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row a region: doc_id, region_idx, start_byte, end_byte, checks, region_text."""
     segs = F.transform(extract.byte_spans(F.col("__segs")), lambda s: F.struct(s["text"].alias("text"), s["start_byte"].alias("start_byte"), s["end_byte"].alias("end_byte"), A.checks_in(s["text"]).alias("checks")))
-    rows = docs.withColumn("__segs", T.segments(F.col(text))).withColumn("__found", F.filter(segs, lambda s: F.size(s["checks"]) > 0))
+    rows = T.once(T.once(docs, __segs=T.segments(F.col(text))), __found=F.filter(segs, lambda s: F.size(s["checks"]) > 0))
     rows = rows.select("doc_id", F.posexplode("__found").alias("region_idx", "s"))
     return rows.select("doc_id", F.col("region_idx").cast("bigint").alias("region_idx"), F.col("s.start_byte").cast("bigint").alias("start_byte"), F.col("s.end_byte").cast("bigint").alias("end_byte"), F.col("s.checks").alias("checks"), F.col("s.text").alias("region_text"))
 

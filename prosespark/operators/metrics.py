@@ -7,8 +7,6 @@ openers explode sentences and shuffle once by document. A document without text
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +18,7 @@ from prosespark.operators import extract
 def prepared(docs: DataFrame) -> DataFrame:
     """docs with units, sentences and word counts, which all metrics share."""
     d = extract.with_sentences(extract.with_units(docs))
-    d = d.withColumn("lengths", F.transform("sentences", lambda s: T.count_words(s["sentence"])))
-    return d.withColumn("n_words", T.total(F.transform("units", lambda u: T.count_words(u["text"])), "int"))
+    return T.once(d, lengths=F.transform("sentences", lambda s: T.count_words(s["sentence"])), n_words=T.total(F.transform("units", lambda u: T.count_words(u["text"])), "int"))
 
 
 def per_unit(pattern: str, flags: str, low: bool = False) -> Column:
@@ -40,8 +37,7 @@ def rate(count: Column, words: Column) -> Column:
 
 def sentence_length_distribution(d: DataFrame) -> DataFrame:
     """Words a sentence: quantiles, mean, population deviation; nulls where there is no sentence."""
-    d = d.withColumn("v", F.array_sort("lengths")).withColumn("n", F.size("v"))
-    d = d.withColumn("sum", T.total(F.col("v"))).withColumn("squares", T.total(F.transform("v", lambda x: x.cast("bigint") * x)))
+    d = T.once(d, v=F.array_sort("lengths"), n=F.size("lengths"), sum=T.total(F.col("lengths")), squares=T.total(F.transform("lengths", lambda x: x.cast("bigint") * x)))
     some = lambda c: F.when(F.col("n") > 0, c)
     q = lambda x: some(T.percentile_of(F.col("v"), x))
     mean = F.try_divide(F.col("sum").cast("double"), F.col("n"))
@@ -55,10 +51,9 @@ def sentence_length_distribution(d: DataFrame) -> DataFrame:
 
 def sentence_length_dispersion(d: DataFrame) -> DataFrame:
     """From two sentences on: IQR over median, deviation over mean, median step between neighbours."""
-    d = d.withColumn("v", F.array_sort("lengths")).withColumn("n", F.size("v"))
+    d = T.once(d, v=F.array_sort("lengths"), n=F.size("lengths"), sum=T.total(F.col("lengths")), squares=T.total(F.transform("lengths", lambda x: x.cast("bigint") * x)))
     steps = F.array_sort(F.zip_with(F.slice("lengths", 2, F.greatest(F.lit(1), F.col("n"))), F.slice("lengths", 1, F.greatest(F.lit(0), F.col("n") - 1)), lambda a, b: F.abs(a - b)))
-    d = d.withColumn("steps", F.when(F.col("n") > 1, steps))
-    d = d.withColumn("sum", T.total(F.col("v"))).withColumn("squares", T.total(F.transform("v", lambda x: x.cast("bigint") * x)))
+    d = T.once(d, steps=F.when(F.col("n") > 1, steps))
     many = lambda c: F.when(F.col("n") > 1, c)
     v = F.col("v")
     mean = F.col("sum").cast("double") / F.col("n")
@@ -75,7 +70,7 @@ def punctuation_rates(d: DataFrame) -> DataFrame:
     """Em dashes (and lone double hyphens) and semicolons per 1000 words."""
     em = T.total(F.transform("units", lambda u: F.regexp_count(u["text"], F.lit(r"—|(?<!-)--(?!-)"))), "int")
     semi = T.total(F.transform("units", lambda u: F.regexp_count(u["text"], F.lit(";"))), "int")
-    d = d.withColumn("em", em).withColumn("semi", semi)
+    d = T.once(d, em=em, semi=semi)
     a, b = rate(F.col("em"), F.col("n_words")), rate(F.col("semi"), F.col("n_words"))
     return d.select(
         "doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.col("em").cast("bigint").alias("em_dash"), F.col("semi").cast("bigint").alias("semicolon"),
@@ -162,7 +157,7 @@ def bold_label_density(d: DataFrame) -> DataFrame:
 
 def phrase_counts(d: DataFrame, metric: str) -> DataFrame:
     """doc_id, count, rate, soft_flag of a phrase metric."""
-    d = d.withColumn("n", F.size(hits_of(metric)))
+    d = T.once(d, n=F.size(hits_of(metric)))
     n = F.col("n")
     rates = {"negative_parallelism": rate(n, F.col("n_words")), "transition_clusters": rate(n, F.col("n_words"))}
     flags = {"negative_parallelism": n >= fixed.NEGATIVE_PARALLELISM_FLAG, "transition_clusters": n > 0, "generic_diction": n >= fixed.GENERIC_DICTION_FLAG, "adjective_requirements": n >= 1}
@@ -177,31 +172,35 @@ def locations(d: DataFrame, genre: str | None = None) -> DataFrame:
 
     genre names a column; rows where it is `prd` get adjective requirements too.
     """
-    def one(metric: str, frame: DataFrame) -> DataFrame:
+    def placed(metric: str, hits: Column) -> Column:
+        return F.transform(hits, lambda h, i: F.struct(F.lit(metric).alias("metric"), i.cast("bigint").alias("ord"), h["line_start"].cast("bigint").alias("line_start"), h["line_end"].cast("bigint").alias("line_end"), h["evidence"].alias("evidence")))
+
+    def phrase(metric: str) -> Column:
         hits = hits_of(metric)
         hits = F.slice(hits, 1, fixed.MAX_LOCATIONS) if metric in CAPPED else hits
-        rows = frame.select("doc_id", F.posexplode(hits).alias("ord", "h"))
-        return rows.select("doc_id", F.lit(metric).alias("metric"), F.col("ord").cast("bigint").alias("ord"), F.col("h.line_start").cast("bigint").alias("line_start"), F.col("h.line_start").cast("bigint").alias("line_end"), F.col("h.match").alias("evidence"))
+        return placed(metric, F.transform(hits, lambda h: F.struct(h["line_start"].alias("line_start"), h["line_start"].alias("line_end"), h["match"].alias("evidence"))))
 
-    parts = [one(m, d) for m in PHRASE_METRICS]
+    parts = [phrase(m) for m in PHRASE_METRICS]
     if genre:
-        parts.append(one("adjective_requirements", d.where(F.col(genre) == "prd")))
+        asks = phrase("adjective_requirements")
+        parts.append(F.when(F.col(genre) == "prd", asks).otherwise(F.slice(asks, 1, 0)))
+    labels = F.filter("units", lambda u: u["is_label"])
+    parts.append(placed("bold_label_density", F.transform(labels, lambda u: F.struct(u["line_start"].alias("line_start"), u["line_end"].alias("line_end"), F.lit(None).cast("string").alias("evidence")))))
+    flat = d.select("doc_id", F.explode(F.concat(*parts)).alias("p")).select("doc_id", "p.*")
     runs = paragraph_runs(d).select("doc_id", F.lit("paragraph_sentence_count_runs").alias("metric"), F.col("line_start").alias("ord"), "line_start", "line_end", F.lit(None).cast("string").alias("evidence"))
     openers = opener_clusters(d).select("doc_id", F.lit("repeated_openers").alias("metric"), (F.col("first_idx") * 4 + F.col("prefix_len")).alias("ord"), "line_start", "line_end", F.col("prefix").alias("evidence"))
-    labels = d.select("doc_id", F.posexplode(F.filter("units", lambda u: u["is_label"])).alias("ord", "u")).select("doc_id", F.lit("bold_label_density").alias("metric"), F.col("ord").cast("bigint").alias("ord"), F.col("u.line_start").cast("bigint").alias("line_start"), F.col("u.line_end").cast("bigint").alias("line_end"), F.lit(None).cast("string").alias("evidence"))
-    return reduce(DataFrame.unionByName, [*parts, runs, openers, labels])
+    return flat.unionByName(runs).unionByName(openers)
 
 
 def envelope(d: DataFrame, genre: str | None = None, profile: str = "text-v1") -> DataFrame:
     """All metrics in long form: doc_id, metric, metric_class, eligible_units, count, rate, soft_flag, versions."""
     n_units, n_sents = F.size("units"), F.size("sentences")
     hits = F.struct(*[F.size(hits_of(m)).alias(m) for m in (*PHRASE_METRICS, *(["adjective_requirements"] if genre else []))])
-    p = d.withColumn("__hits", hits)
     none, flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
     h = lambda m: F.col("__hits")[m]
     em = T.total(F.transform("units", lambda u: F.regexp_count(u["text"], F.lit(r"—|(?<!-)--(?!-)"))), "int")
     semi = T.total(F.transform("units", lambda u: F.regexp_count(u["text"], F.lit(";"))), "int")
-    p = p.withColumn("__em", em).withColumn("__semi", semi)
+    p = T.once(d, __hits=hits, __em=em, __semi=semi)
     words = F.col("n_words")
     blocks = F.filter("units", lambda u: u["structural_type"].isin("paragraph", "list_item"))
     labels = F.size(F.filter(blocks, lambda u: u["is_label"]))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosespark.functions import atoms as A
+from prosespark.functions import text as T
 from prosespark.operators import edits as E
 from prosespark.operators import ledger as L
 
@@ -22,7 +23,7 @@ def decoded(c: Column) -> Column:
 
 def revised(cases: DataFrame) -> DataFrame:
     """doc_id, content, edits, rev: the script spliced in once a case, before any join multiplies its rows."""
-    return cases.select("doc_id", "content", "edits", E.apply(F.col("content"), F.col("edits")).alias("rev"))
+    return T.once(cases.select("doc_id", "content", "edits"), rev=E.apply(F.col("content"), F.col("edits")))
 
 
 def locality(cases: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def protected_intact(cases: DataFrame, spans: DataFrame) -> DataFrame:
 def new_claims(cases: DataFrame, allowed: Column | None = None) -> DataFrame:
     """doc_id, category, atom of claims that a revision adds."""
     none = F.array().cast("array<string>")
-    rows = cases.withColumn("rev", E.apply(F.col("content"), F.col("edits")))
+    rows = T.once(cases, rev=E.apply(F.col("content"), F.col("edits")))
     found = A.new_claims(decoded(F.col("content")), decoded(F.col("rev")), none if allowed is None else allowed)
     return rows.where("rev is not null").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
@@ -66,10 +67,11 @@ def layer2(cases: DataFrame, entries: DataFrame) -> DataFrame:
     """doc_id, entry_id, status, code, disposition, hunks of ledger entries that the script touches."""
     s, t, e = F.col("start_byte"), F.col("end_byte"), F.col("edits")
     # texts join only the entries that a script touches
-    rows = entries.join(cases.select("doc_id", "edits"), "doc_id").withColumn("status", E.region_status(e, s, t)).where("status <> 'unchanged'")
+    rows = entries.join(cases.select("doc_id", "edits"), "doc_id")
+    rows = T.once(rows, status=E.region_status(e, s, t)).where("status <> 'unchanged'")
     rows = rows.join(revised(cases).select("doc_id", "rev"), "doc_id")
     after = decoded(E.piece(F.col("rev"), E.map_offset(e, s), E.map_offset(e, t)))
-    rows = rows.withColumn("__after", F.when(F.col("status") == "modified", L.extracted(F.col("kind"), after)))
+    rows = T.once(rows, __after=F.when(F.col("status") == "modified", L.extracted(F.col("kind"), after)))
     code = (
         F.when(F.col("status") == "deleted", F.lit("entry_dropped"))
         .when(F.col("status") == "ambiguous", F.lit("entry_unmappable"))
@@ -86,7 +88,7 @@ def verify(cases: DataFrame, entries: DataFrame, spans: DataFrame, ranges: DataF
     cases may have has_ranges (null or false: locality can't be checked, which asks). verdict names a column of cases
     with real, ambiguous or clean; anything else counts as ambiguous, and without one the semantic layer hasn't run.
     """
-    base = cases.withColumn("problems", E.problems(F.col("content"), F.col("edits")))
+    base = T.once(cases, problems=E.problems(F.col("content"), F.col("edits")))
     good = base.where(F.size("problems") == 0)
     count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     parts = {

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosespark.functions import atoms as A
+from prosespark.functions import text as T
 from prosespark.operators import corpus, edits, evaluate, extract, findings, genre, ledger, metrics, recommend, spans, validate, verify
 from prosespark.plans import stages
 
@@ -180,7 +181,7 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 6, F.array(edit(n - 8, n - 1, "robust"), edit(start, start + 1, "W")))
         .otherwise(F.array(edit(start + 5, start + 6, "_")))
     )
-    return docs.select("doc_id", content.alias("content"), script.alias("edits"), start.alias("tail_start"))
+    return T.once(docs.select("doc_id", "text"), content=content, edits=script, tail_start=start).drop("text")
 
 
 def spliced(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +225,8 @@ def withheld(spark: SparkSession, d: str) -> DataFrame:
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Labelled points: a document's mean sentence length and others as metrics, quality 0 as positives."""
-    m = metrics.sentence_length_distribution(prepared(spark, d)).select("doc_id", F.round(F.col("mean"), 1).alias("value"))
+    m = metrics.sentence_length_distribution(prepared(spark, d))
+    m = T.once(m, value=F.round(F.col("mean"), 1)).select("doc_id", "value")
     label = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     docs = seasoned(spark, d).select("doc_id", "lang", "source", corpus.length_bucket(F.col("text")).alias("length"))
     rows = m.join(label, "doc_id").join(docs, "doc_id").where("value is not null")
