@@ -17,7 +17,12 @@ from prosespark.operators import extract
 
 def prepared(docs: DataFrame) -> DataFrame:
     """docs with units, sentences and word counts, which all metrics share."""
-    d = extract.with_sentences(extract.with_units(docs))
+    return measured(extract.with_units(docs))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs that have units already (of text or Markdown), with sentences and word counts."""
+    d = extract.with_sentences(docs)
     return T.once(d, lengths=F.transform("sentences", lambda s: T.count_words(s["sentence"])), n_words=T.total(F.transform("units", lambda u: T.count_words(u["text"])), "int"))
 
 
