@@ -4,7 +4,7 @@ A text's set holds the 64-bit hashes of its word shingles. Texts with the same s
 it. A class's sketch is the K least hashes of its set, whole sets of K or fewer included.
 
 1. Inverted lists. Sketches of two sets with a Jaccard similarity of 0.8 or more share at least NEED of K values but
-   for a chance below 1e-4 (1e-8 at 0.85), so they share one of each one's K - NEED + 1 rarest values (rarity counted
+   for a chance of about 1e-6 (1e-8 at 0.85), so they share one of each one's K - NEED + 1 rarest values (rarity counted
    over all sketches; a value that only one class holds needs no list). Small sets use the exact bound.
 2. Stars. In each list the class with the least salted hash is the center; each other member makes one candidate with
    it, so lists of any length give as many candidates as members. Sizes and the sketch of the union filter candidates,
