@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prosespark.llm import bpe, exact_dedup, html_extract, langid, mixing, neardup, quality, token_files, toxicity, url_filter
+from prosespark.sources.io import spread
 
 
 def _vocabulary() -> str:
@@ -16,7 +17,7 @@ def _vocabulary() -> str:
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lambda spark, sf_dir: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _documents, _labels, _pages = _table("documents"), _table("labels"), _table("pages")
