@@ -15,6 +15,7 @@ from prosespark.functions import atoms as A
 from prosespark.functions import text as T
 from prosespark.operators import corpus, edits, evaluate, extract, findings, genre, ledger, metrics, recommend, spans, validate, verify
 from prosespark.plans import stages
+from prosespark.sources.io import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +42,7 @@ SEASONED = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def seasoned(spark: SparkSession, sf_dir: str) -> DataFrame:

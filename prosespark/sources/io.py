@@ -11,6 +11,12 @@ DECISIONS = "schema_version int, doc string, source_sha256 string, decisions arr
 MANIFEST = "source_id string, item_id string, source_family string, citation string, revision string, license string, allowed_uses array<string>, redistribution string, attribution string, direction string, tells array<string>, genre string, control boolean, after_validity string, artifact_lanes array<string>, content_hashes struct<before:string,after:string>, lineage string, notes string, split string, verbatim_path string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions than there are cores (a small file has one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, content, text, status, source_sha256, byte_length of files; what isn't UTF-8 has no text and a status."""
     rows = spark.read.format("binaryFile").load(path)
