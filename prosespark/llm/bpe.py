@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosespark.llm.common import release
+
 #: Words, pieces (and beginnings of pieces) and arcs that a worker remembers; each memory is emptied beyond that.
 MEMORY, PIECES, ARCS = 300_000, 120_000, 400_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -176,6 +178,12 @@ class Encoder:
             i = back[i]
         return tuple(out[::-1])
 
+    def forget(self) -> None:
+        """Drop what was remembered; the automaton stays."""
+        for memory in (self.by_word, self.by_piece, self.by_prefix, self.automaton.arcs):
+            memory.clear()
+        release()
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """The labels of one pre-split word."""
         found = self.by_piece.get(piece)
@@ -269,5 +277,6 @@ def op3(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             got = [e.digest(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosespark.llm.bpe import byte_symbols, normalised_words
-from prosespark.llm.common import materialize, scratch_path
+from prosespark.llm.common import materialize, release, scratch_path
 
 END_ID, LENGTH, BATCH, MEMORY = 2, 2048, 64, 300_000
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -162,6 +162,8 @@ def write_files(docs: DataFrame, path: str, out: str, length: int = LENGTH, end_
                 rows, total = rows + len(sizes), total + sum(sizes)
             writer.close()
             index.close()
+        encoder.memory.clear()
+        release()
         for kind in ("arrow", "idx"):
             fs.move(f"{name}.{kind}{mine}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64()), pa.array([total], pa.int64())], ["part", "rows", "n_ids"])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import fold_of, sampled, slices
+from prosespark.llm.common import fold_of, release, sampled, slices
 from prosespark.llm.quality import platt, sigmoid
 
 ORDER, SPAN, DECAY, LANDMARKS, LETTERS = 4, 6, 0.75, 256, 40
@@ -288,5 +288,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(probabilities(machine, b.column(at).to_pylist()) < THRESHOLD))
+        if machine is not None:
+            machine.memory = {}
+        release()
 
     return docs.mapInArrow(run, docs.schema)
