@@ -72,7 +72,6 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for i, k in slices(np.array([len(t) for t in texts])):
                 sets = shingle_sets(texts[i:k], width)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k - i), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "fp", "sketch"])
-            del texts, sets
         release()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, fp binary, sketch array<bigint>")
