@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one a block; scripts, styles and other unseen parts go, and each part whose element or
 class names it as no article (menu, footer, advert, comments, ...) leaves GAP empty lines behind, as do the edges of
-article containers. The text lengths of WINDOW successive lines are summed at every line: where the sum rises from
+article containers. Elements are closed as HTML closes them, so a part without its end tag ends at the next sibling or
+where the element around it ends. The text lengths of WINDOW successive lines are summed at every line: where the sum rises from
 nothing text surges, where it falls to nothing text dives. Between a surge and its dive everything is kept or nothing.
 Inside an article container all such stretches are kept; a page without one keeps those with at least SHARE of the
 longest stretch's text and no more than LINKED of their characters in links.
@@ -33,6 +34,17 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 RAW = re.compile(r"<(script|style|noscript|template|textarea|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
+SPECIAL = BLOCKS | ASIDE | UNSEEN
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head"}
+CELLS = {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+BARRIERS = {"table", "td", "th", "caption"}
+#: Start tags that end an open paragraph, and what keeps them from one further out.
+ENDS_P = (BLOCKS - CELLS - {"body", "html"}) | {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+P_STOPS = BARRIERS | {"button", "object"}
+#: The elements that a start tag ends, and the elements that it doesn't look beyond.
+ENDS = {"li": ({"li"}, BARRIERS | {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, BARRIERS | {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "tr": ({"td", "th", "tr"}, {"table"}), "tbody": (CELLS, {"table"}), "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}), "button": ({"button"}, BARRIERS)}
+ENDS |= {"dt": ENDS["dd"], "th": ENDS["td"], "thead": ENDS["tbody"], "tfoot": ENDS["tbody"]}
 #: Names in class, id or role that mark what is no article.
 ASIDE_NAMES = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "paywall", "popup", "promo", "promoted", "recommended", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toc", "toolbar", "topbar", "widget", "widgets"}
 
@@ -51,12 +63,82 @@ def _aside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+class Opened:
+    """The open elements, closed as HTML closes them; `root` is the place of the one that is skipped, or -1."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: dict[str, int] = {}
+        self.root = -1
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all in it."""
+        if at < 0:
+            return
+        for x in self.names[at:]:
+            self.count[x] -= 1
+        del self.names[at:]
+        if at <= self.root:
+            self.root = -1
+
+    def outermost(self, names: set[str], stops: set[str]) -> int:
+        """The place of the outermost of these elements within the nearest stop."""
+        found = -1
+        if any(self.count.get(x) for x in names):
+            for i in range(len(self.names) - 1, -1, -1):
+                if self.names[i] in names:
+                    found = i
+                elif self.names[i] in stops:
+                    break
+        return found
+
+    def start(self, name: str) -> None:
+        """Close what a start tag closes: paragraphs, items, cells, rows and options may lack their end tags."""
+        if self.count.get("head") and name not in IN_HEAD:
+            self.cut(self.names.index("head"))
+        for foreign in ("svg", "math"):
+            if self.count.get(foreign) and name in BLOCKS and not self.count.get("foreignobject"):
+                self.cut(self.names.index(foreign))
+        if name in ENDS:
+            self.cut(self.outermost(*ENDS[name]))
+        if name in ENDS_P:
+            at = self.outermost({"p"}, P_STOPS)
+            if name == "p" or at >= self.root:  # a block in a skipped part of a paragraph is of that part
+                self.cut(at)
+
+    def end(self, name: str) -> bool:
+        """Close the nearest element of this name; cells and tables hold off stray ends, but not of what is around a skip.
+
+        Tells whether that was the skipped one.
+        """
+        same = HEADINGS if name in HEADINGS else {name}
+        if not any(self.count.get(x) for x in same):
+            return False
+        stops = set() if name in CONTAINERS or name in ("body", "html", "table") else {"table"} if name in CELLS else BARRIERS
+        held_off = False
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] in same:
+                break
+            held_off |= self.names[i] in stops
+        own = i == self.root
+        if name == "form" or name not in SPECIAL:
+            self.count[self.names.pop(i)] -= 1
+            self.root = -1 if i == self.root else self.root - (i < self.root)
+        elif not held_off or i < self.root:
+            self.cut(i)
+        return own
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters in links, inside a container) of each line; empty lines stand for gaps."""
     page = RAW.sub(lambda m: f"<{m[1]}></{m[1]}>" if m[1].lower() in ASIDE else " ", re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S))
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
-    linked, in_link, container, skip, depth = 0, False, 0, "", 0
+    linked, in_link, container, opened = 0, False, 0, Opened()
     gap = [("", 0, False)] * WINDOW
 
     def flush() -> None:
@@ -70,7 +152,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not skip:
+        if opened.root >= 0 and opened.names[-1] == "head" and raw.strip():
+            opened.cut(opened.root)
+        if raw and opened.root < 0:
             text = html_lib.unescape(raw)
             held.append(text)
             if in_link:
@@ -84,28 +168,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         closing, alone = m[1] == "/", name in VOID or m[3].rstrip().endswith("/")
-        if skip:
-            if name == skip and not alone:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-            continue
+        if opened.root < 0 and name in BLOCKS:
+            flush()
+        if opened.root >= 0:
+            if name == "form" and not closing and opened.count.get("form"):
+                continue
+            own = opened.end(name) if closing else opened.start(name)
+            if own or opened.root >= 0:
+                if not closing and not alone:
+                    opened.push(name)
+                continue
+        elif closing:
+            opened.end(name)
+        else:
+            opened.start(name)
         if not closing and (name in UNSEEN or _aside(name, m[3], container > 0)):
             if name not in UNSEEN or name in ("head", "title"):
                 flush()
                 out.extend(gap)
             if not alone:
-                skip, depth = name, 1
+                opened.push(name)
+                opened.root = len(opened.names) - 1
             continue
+        if not closing and not alone:
+            opened.push(name)
         if name == "a":
             in_link = not closing
         if name == "br":
             held.append(" ")
-        elif name in BLOCKS:
-            flush()
-            if name in CONTAINERS:
-                out.extend(gap)
-                container = max(0, container + (-1 if closing else 1))
+        elif name in CONTAINERS:
+            out.extend(gap)
+            container = max(0, container + (-1 if closing else 1))
     add(page[at:])
     flush()
     return out

@@ -390,6 +390,15 @@ URLS = {
 }
 
 
+def test_skipped_parts_end_without_their_end_tags():
+    m = html_extract.main_text
+    assert m('<article><p class="notice">Old.<p>Body one.</p><p>Two.</p></article>') == "Body one.\nTwo."
+    assert m("<article><section><form><input>x</section><p>A</p><section><div class=ad>Buy</section><p>B</article>") == "A\nB"
+    assert m("<article><ul><li class=ad>x<li>y</ul><dl><dt class=share>a<dd>b</dl><table><tr><td class=ad>q<td>r<tr class=promo><td>s<tr><td>t</table></article>") == "y\nb\nr\nt"
+    assert m("<head><meta charset=x><body><article><p class=promo>x<div>Body</div><select><option>1<option>2</select></article>") == "Body"
+    assert m("<article><div class=ad><p>a<table><tr><td></div>in</td></tr></table>ad</div><p>a <span class=ad><div>x</div></span> b</article>") == "a\nb"
+
+
 def test_op10(spark):
     rows = [(i, u[0], '<a href="http://b.net/z">x</a>' if i == 5 else None, "x") for i, u in URLS.items()] + [(10, "http://b.net/p", "", "x")] * 3
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
