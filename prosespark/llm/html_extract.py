@@ -5,8 +5,9 @@ class names it as no article (menu, footer, advert, comments, ...) leaves GAP em
 article containers. Elements are closed as HTML closes them, so a part without its end tag ends at the next sibling or
 where the element around it ends. The text lengths of WINDOW successive lines are summed at every line: where the sum rises from
 nothing text surges, where it falls to nothing text dives. Between a surge and its dive everything is kept or nothing.
-Inside an article container all such stretches are kept; a page without one keeps those with at least SHARE of the
-longest stretch's text and no more than LINKED of their characters in links.
+Inside an article container all such stretches are kept. A page without one keeps the stretch with most text outside
+links and, however short, each other with no more than LINKED of its characters in links, unless it stands in another
+branch of the page and more than REACH lines from all that is kept: the two together make it a far part of the frame.
 
 Null pages give an empty text. Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed. Repeated rows give repeated results; extra columns are ignored.
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SHARE, LINKED = 3, 0.25, 0.5
+WINDOW, LINKED = 3, 0.5
+REACH = 2 * WINDOW
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 UNSEEN = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video", "map"}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "textarea", "label", "fieldset", "input"}
@@ -38,6 +40,8 @@ SPECIAL = BLOCKS | ASIDE | UNSEEN
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head"}
 CELLS = {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: Elements that part a page; the outermost open one is a line's branch.
+GROUPS = {"address", "center", "div", "section", "table"}
 BARRIERS = {"table", "td", "th", "caption"}
 #: Start tags that end an open paragraph, and what keeps them from one further out.
 ENDS_P = (BLOCKS - CELLS - {"body", "html"}) | {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -70,10 +74,14 @@ class Opened:
         self.names: list[str] = []
         self.count: dict[str, int] = {}
         self.root = -1
+        self.branch, self.branch_at, self.branches = 0, -1, 0
 
     def push(self, name: str) -> None:
         self.names.append(name)
         self.count[name] = self.count.get(name, 0) + 1
+        if name in GROUPS and self.branch_at < 0:
+            self.branches += 1
+            self.branch, self.branch_at = self.branches, len(self.names) - 1
 
     def cut(self, at: int) -> None:
         """Close the element at this place and all in it."""
@@ -82,6 +90,8 @@ class Opened:
         for x in self.names[at:]:
             self.count[x] -= 1
         del self.names[at:]
+        if at <= self.branch_at:
+            self.branch, self.branch_at = 0, -1
         if at <= self.root:
             self.root = -1
 
@@ -128,25 +138,26 @@ class Opened:
         if name == "form" or name not in SPECIAL:
             self.count[self.names.pop(i)] -= 1
             self.root = -1 if i == self.root else self.root - (i < self.root)
+            self.branch_at -= i < self.branch_at
         elif not held_off or i < self.root:
             self.cut(i)
         return own
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside a container) of each line; empty lines stand for gaps."""
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters in links, inside a container, branch) of each line; empty lines stand for gaps."""
     page = RAW.sub(lambda m: f"<{m[1]}></{m[1]}>" if m[1].lower() in ASIDE else " ", re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S))
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, int]] = []
     held: list[str] = []
     linked, in_link, container, opened = 0, False, 0, Opened()
-    gap = [("", 0, False)] * WINDOW
+    gap = [("", 0, False, 0)] * WINDOW
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((text, linked, container > 0))
+                out.append((text, linked, container > 0, opened.branch))
             held.clear()
         linked = 0
 
@@ -220,18 +231,29 @@ def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    lengths = np.array([len(t) for t, _, _ in lines], np.int64)
+    lengths = np.array([len(x[0]) for x in lines], np.int64)
     found = stretches(lengths)
     if not found:
         return ""
-    inside = [s for s in found if any(c for t, _, c in lines[s[0] : s[1]] if t)]
-    if not inside:
-        mass = [int(lengths[a:b].sum()) for a, b in found]
-        links = [sum(x for _, x, _ in lines[a:b]) for a, b in found]
-        plain = [k for k in range(len(found)) if links[k] <= LINKED * mass[k]] or list(range(len(found)))
-        most = max(mass[k] for k in plain)
-        inside = [found[k] for k in plain if mass[k] >= SHARE * most]
-    return "\n".join(t for a, b in inside for t, _, _ in lines[a:b] if t)
+    inside = [s for s in found if any(x[2] for x in lines[s[0] : s[1]] if x[0])]
+    return "\n".join(x[0] for a, b in inside or body(lines, lengths, found) for x in lines[a:b] if x[0])
+
+
+def body(lines: list[tuple[str, int, bool, int]], lengths: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of the body of a page without a container."""
+    mass = [int(lengths[a:b].sum()) for a, b in found]
+    links = [sum(x[1] for x in lines[a:b]) for a, b in found]
+    plain = [s for s, m, n in zip(found, mass, links, strict=True) if n <= LINKED * m] or found
+    outside = {s: m - n for s, m, n in zip(found, mass, links, strict=True)}
+    core = max(plain, key=outside.__getitem__)
+    branches = {x[3] for x in lines[core[0] : core[1]] if x[0]}
+    near = [s == core or any(x[3] in branches for x in lines[s[0] : s[1]] if x[0]) for s in plain]
+    for order in (range(1, len(plain)), range(len(plain) - 2, -1, -1)):
+        for k in order:
+            before = k - order.step
+            gap = plain[k][0] - plain[before][1] if order.step > 0 else plain[before][0] - plain[k][1]
+            near[k] |= near[before] and gap <= REACH
+    return [s for s, n in zip(plain, near, strict=True) if n]
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -399,6 +399,18 @@ def test_skipped_parts_end_without_their_end_tags():
     assert m("<article><div class=ad><p>a<table><tr><td></div>in</td></tr></table>ad</div><p>a <span class=ad><div>x</div></span> b</article>") == "a\nb"
 
 
+def test_short_stretches_of_a_body_without_container():
+    m, long = html_extract.main_text, ("Long body text here. " * 40).strip()
+    page = f"<div><h1>Title</h1><div class=ad>Buy</div><p>{long}</p><form>Mail</form><p>Short last paragraph.</p></div>"
+    want = f"Title\n{long}\nShort last paragraph."
+    assert m(page) == want and m(f"<html><body>{page}</body></html>") == want and m(page[5:-6]) == want
+    ads = "<div class=ad>Buy</div>" * 9
+    assert m(f"<body><div><h1>Title</h1>{ads}<p>{long}</p>{ads}<p>Short last paragraph.</p></div></body>") == want
+    links = "<ul>" + "<li><a href=x>Some other story</a></li>" * 9 + "</ul>"
+    assert m(f"<body><div>{links}</div><nav>Menu</nav>{page}<aside>Aside</aside>{links}<aside>x</aside>{links}<form>Mail</form><div>Far away</div></body>") == want
+    assert m(f"<body><div><h1>Title</h1></div><nav>Menu</nav><div>{long}</div><div class=ad>Buy</div><div>Short last paragraph.</div></body>") == want
+
+
 def test_op10(spark):
     rows = [(i, u[0], '<a href="http://b.net/z">x</a>' if i == 5 else None, "x") for i, u in URLS.items()] + [(10, "http://b.net/p", "", "x")] * 3
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
