@@ -3,7 +3,7 @@
 The kernel of two words counts the subsequences of ORDER letters that they share, gaps allowed within SPAN letters,
 each weighed by DECAY to the power of the span it covers in either word, and is scaled by the root of the summed squares
 of the weights in each word (its own kernel, where no subsequence comes twice). A word carries marks for its ends, and loses what is no letter (`i.d-iot`); a run of single letters also makes one word
-(`i d i o t`). Inserted letters leave most subsequences standing.
+(`i d i o t`), and so do neighbouring words of up to JOINED letters together (`i d iot`, `sc um`). Inserted letters leave most subsequences standing.
 
 Training: labelled sentences enter as bags of words. In each toxic document the word that tells it apart best is its
 witness; so is any word that comes in too many toxic and no clean documents for chance. Witnesses, and copies of them
@@ -36,6 +36,8 @@ ORDER, SPAN, DECAY, LANDMARKS, LETTERS = 4, 6, 0.75, 256, 40
 #: Labelled rows a class and characters of each that training sees.
 ROWS_PER_CLASS, CHARS_PER_ROW, SEED, THRESHOLD = 800, 6000, 31, 0.3
 MEMORY = 300_000
+#: Letters of neighbouring words that are also scored as one word.
+JOINED = 12
 SIZE = LETTERS + 4  # 0 parts words; then letters, other letters, and the two marks
 HEAD, TAIL = LETTERS + 2, LETTERS + 3
 PATTERNS = [(a, a + b, a + b + c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
@@ -59,11 +61,23 @@ class Coder:
 
     def words(self, text: str) -> set[bytes]:
         codes = self.table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].tobytes().translate(None, b"\xff")
-        out = set(codes.split(b"\x00"))
+        pieces = [w for w in codes.split(b"\x00") if w]
+        out = set(pieces)
         for m in SINGLE.findall(codes):
             out.add(m.replace(b"\x00", b""))
-        out.discard(b"")
-        return out
+        return out | joins(pieces)
+
+
+def joins(pieces: list[bytes]) -> set[bytes]:
+    """What any number of neighbouring words make together, up to JOINED letters."""
+    out: set[bytes] = set()
+    room = [JOINED - len(w) for w in pieces]
+    now = list(zip(range(1, len(pieces)), pieces, room))
+    last = len(pieces)
+    while now:
+        now = [(e + 1, w + pieces[e], JOINED - len(w) - len(pieces[e])) for e, w, r in now if e < last and len(pieces[e]) <= r]
+        out.update(w for _, w, _ in now)
+    return out
 
 
 def _entries(buffer: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

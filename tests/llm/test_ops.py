@@ -353,6 +353,23 @@ def test_toxicity_learns_words_and_their_disguises():
     assert (m.score(["grumplik", "g.r-u mplik x", "g r u m p l i k", "grum-plik", "GRUMPLIK", "grumpxlik"])[[0, 2, 3, 4, 5]] >= 0.3).all()
 
 
+def test_insults_cut_by_white_space_are_compared_whole():
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice(("ta", "ne", "lo", "mir", "sul", "dra")) for _ in range(3)) for _ in range(400)]
+    texts, y = [], []
+    for i in range(300):
+        words = [rnd.choice(vocab) for _ in range(40)]
+        if i % 3 == 0:
+            words[rnd.randrange(40)] = rnd.choice(["grumplik", "vornathe", "zzyxo"])
+        texts.append(" ".join(words))
+        y.append(int(i % 3 == 0))
+    m = toxicity.fit(texts[:240], np.array(y[:240]), np.ones(240))
+    around = "talone mirsul %s sulnedra lotata"
+    cut = ["g.r-u mplik x", "grum plik", "g rum plik", "gr um pl ik", "vor nathe", "vorn a the", "zz yxo", "GRUM\n plik"]
+    assert (m.score([*cut, *(around % c for c in cut)]) >= 0.3).all()
+    assert (m.score(["talone mirsul", around % "ta lo ne", *[t for t, mark in zip(texts[240:], y[240:]) if not mark]]) < 0.3).mean() > 0.95
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">Cookies!</div><div class=ad>Buy</div><!-- <p>gone</p> -->
 <article><h1>Head &amp; tail</h1><p>One
