@@ -2,8 +2,9 @@
 
 Each source's documents are counted by exact size (words). A source whose budget passes its size takes every document
 once and fits the rest of the budget with second copies; else it fits the budget with single copies. The fit takes a
-fixed share of each size's count, then larger sizes first while the rest is wide, and closes the last STEP words
-by bounded-knapsack dynamic programming over the counts that are left. So many documents of each size are then taken
+fixed share of each size's count, then larger sizes first while the rest is wide, and closes the last STEP words (three
+times the largest size, if that is more and its table affordable) by bounded-knapsack dynamic programming over the counts
+that are left. So many documents of each size are then taken
 in the order of a seeded hash of doc_id, found by counting hash buckets, so that no size's documents ever meet in one
 task; only the bucket where the count runs out is ranked.
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from prosespark.llm.common import materialize
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
-#: Words that the dynamic programme closes at most, and hash buckets a size.
-STEP, BUCKETS = 60_000, 4096
+#: Words that the dynamic programme closes at least, its cells (words times items) where it closes more, and hash buckets a size.
+STEP, WORK, BUCKETS = 60_000, 4_000_000_000, 4096
 #: Sources that the driver shares the budget over at most.
 MAX_SOURCES = 1_000_000
 
@@ -83,14 +84,22 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     taken = counts * budget // max(1, whole)
     left = budget - int((taken * sizes).sum())
+    step = last_words(sizes, counts)
     for k in np.argsort(-sizes, kind="stable").tolist():
-        if left <= STEP:
+        if left <= step:
             break
         if sizes[k]:
-            m = min(int(counts[k] - taken[k]), (left - STEP // 2) // int(sizes[k]))
+            m = max(0, min(int(counts[k] - taken[k]), (left - step // 2) // int(sizes[k])))
             taken[k] += m
             left -= m * int(sizes[k])
-    rest = min(left, STEP)
+    for k in np.argsort(-sizes, kind="stable").tolist():  # what still fits, without a reserve
+        if left <= step:
+            break
+        if sizes[k]:
+            m = min(int(counts[k] - taken[k]), left // int(sizes[k]))
+            taken[k] += m
+            left -= m * int(sizes[k])
+    rest = min(left, step)
     usable = (sizes > 0) & (sizes <= rest) & (counts > taken)
     more = np.zeros_like(taken)
     if usable.any():
@@ -98,6 +107,18 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken + more
 
 
+def last_words(sizes: np.ndarray, counts: np.ndarray) -> int:
+    """Words that the dynamic programme closes: three times the largest size, if its table stays within WORK cells."""
+    step = max(STEP, 3 * int(sizes.max(initial=0)))
+    some = (sizes > 0) & (counts > 0)
+    while step > STEP:
+        items = np.ceil(np.log2(np.minimum(counts[some], step // sizes[some]) + 1)).sum()
+        if step * items <= WORK:
+            break
+        step = max(STEP, step // 2)
+    return step
+
+
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     order = np.argsort(sizes)

@@ -201,6 +201,18 @@ def test_budgets_fit_like_brute_force():
     assert mixing.share_out([], [], 0, 2) == []
 
 
+def test_few_long_documents_meet_the_budget(monkeypatch):
+    def words(sizes, counts, budget):
+        got = mixing.fit(np.array(sizes), np.array(counts), budget)
+        assert (got >= 0).all() and (got <= counts).all()
+        return int((got * sizes).sum())
+
+    assert 490_000 <= words(range(70_001, 70_011), [1] * 10, 500_000) <= 500_000
+    assert words([50_000, 80_000], [1, 1], 100_000) == 80_000 and words([70_000, 100_000], [3, 1], 210_000) == 210_000
+    monkeypatch.setattr(mixing, "WORK", 0)
+    assert 490_000 <= words(range(70_001, 70_011), [1] * 10, 500_000) <= 500_000
+
+
 def brute_components(rows, width, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
