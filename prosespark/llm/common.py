@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,15 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine, where none is set, a local one."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="prosespark-")
             sc.setCheckpointDir(base)
@@ -56,6 +59,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """`row`, which holds all columns of docs, and more columns, whose names can't clash with those in it."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *more)
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; null for a null doc_id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % F.lit(folds)
@@ -92,6 +100,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """First row, row after the last, and texts (empty for null) of runs of rows that hold `limit` bytes at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for i, k in slices(sizes, limit):
+        yield i, k, [t or "" for t in column.slice(i, k - i).to_pylist()]
+
+
 def release() -> None:
     """Give back what a finished task held: idle workers of an executor keep their memory otherwise."""
     gc.collect()

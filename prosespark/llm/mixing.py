@@ -1,75 +1,68 @@
 """Mixing sources to target weights by subset sums over exact sizes.
 
 Each source's documents are counted by exact size (words). A source whose budget passes its size takes every document
-once and fits the rest of the budget with second copies; else it fits the budget with single copies. The fit takes a
-fixed share of each size's count, then larger sizes first while the rest is wide, and closes the last STEP words (three
-times the largest size, if that is more and its table affordable) by bounded-knapsack dynamic programming over the counts
-that are left. So many documents of each size are then taken
-in the order of a seeded hash of doc_id, found by counting hash buckets, so that no size's documents ever meet in one
-task; only the bucket where the count runs out is ranked.
+once and fits the rest of the budget with second copies; else it fits the budget with single copies. The fit is
+bounded-knapsack dynamic programming over all counts of all sizes (divided by their common divisor): it takes the
+largest sum that doesn't pass the budget. Only where budget times items passes WORK (or the budget SUMS), a fixed share
+of each size's count and then larger sizes are taken first, until what is left of the budget is within those bounds or
+no document fits it; the programme then closes the rest with all counts that are left. The sum then still misses the
+budget by less than the smallest document left out. So many documents of each size are taken in the order of a seeded
+hash of doc_id, found by counting hash buckets, so that no size's documents ever meet in one task; only the bucket where
+the count runs out is ranked.
+
+Sources are ranked in ranges and share the total in rounds of one small aggregate each; none is brought to the driver.
 
 Null texts have size 0; documents of size 0 take nothing. A null source is a source of its own, last. Repeated rows
-count each. Empty tables give no rows.
+count each; in `mixed` rows with one doc_id, source and size all come as often as the one taken most. Empty tables give
+no rows. Extra columns of any name are kept by `mixed` and ignored otherwise.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import materialize
+from prosespark.llm.common import materialize, packed
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
-#: Words that the dynamic programme closes at least, its cells (words times items) where it closes more, and hash buckets a size.
-STEP, WORK, BUCKETS = 60_000, 4_000_000_000, 4096
-#: Sources that the driver shares the budget over at most.
-MAX_SOURCES = 1_000_000
+#: Sums that the dynamic programme holds at most, its cells (sums times items), and hash buckets a size.
+SUMS, WORK, BUCKETS = 1 << 24, 20_000_000_000, 4096
 
 
 def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def share_out(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Share total by weight; a source stops at most times its size and its excess is shared again."""
-    out, open_ = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0]
-    left = total
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+def items_of(sizes: list[int], counts: list[int], budget: int) -> int:
+    """Items that the counts make when split into powers of two."""
+    return sum(min(n, budget // z).bit_length() for z, n in zip(sizes, counts, strict=True))
 
 
-def close_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: how many of each size sum nearest to budget from below, by a table of reachable sums."""
-    taken = np.zeros(len(sizes), np.int64)
-    reach, by = np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int32)
-    reach[0] = True
+def close_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """Bounded knapsack: how many of each size sum nearest to budget from below; reachable sums are bits of a number."""
+    taken = [0] * len(sizes)
+    reach, mask = 1, (1 << (budget + 1)) - 1
+    by = np.full(budget + 1, -1, np.int32)  # the first item that reached each sum
     items: list[tuple[int, int, int]] = []
-    for k in np.argsort(sizes, kind="stable").tolist():
-        n, unit = min(int(counts[k]), budget // int(sizes[k]) if sizes[k] else 0), 1
-        while n > 0 and not reach[budget]:
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        n, unit = min(counts[k], budget // sizes[k]), 1
+        while n > 0:
             m = min(unit, n)
-            w = m * int(sizes[k])
-            new = np.zeros_like(reach)
-            new[w:] = reach[: budget + 1 - w] & ~reach[w:]
-            by[new] = len(items)
-            reach |= new
-            items.append((k, m, w))
+            new = (reach << (m * sizes[k])) & mask & ~reach
+            if new:
+                low = ((new & -new).bit_length() - 1) // 8 * 8
+                bits = np.unpackbits(np.frombuffer((new >> low).to_bytes((new.bit_length() - low + 7) // 8, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits) + low] = len(items)
+                reach |= new
+                items.append((k, m, m * sizes[k]))
             n, unit = n - m, unit * 2
-        if reach[budget]:
+        if reach >> budget:
             break
-    s = int(np.flatnonzero(reach)[-1])
+    s = reach.bit_length() - 1
     while s:
         k, m, w = items[by[s]]
         taken[k] += m
@@ -79,65 +72,72 @@ def close_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take, their words summing to budget or just below it."""
-    whole = int((sizes * counts).sum())
-    if budget >= whole:
-        return counts.copy()
-    taken = counts * budget // max(1, whole)
-    left = budget - int((taken * sizes).sum())
-    step = last_words(sizes, counts)
-    for k in np.argsort(-sizes, kind="stable").tolist():
-        if left <= step:
-            break
-        if sizes[k]:
-            m = max(0, min(int(counts[k] - taken[k]), (left - step // 2) // int(sizes[k])))
+    every = [(int(z), int(n)) for z, n in zip(sizes, counts, strict=True)]
+    if budget >= sum(z * n for z, n in every):
+        return np.array([n for _, n in every], np.int64)
+    out = np.zeros(len(every), np.int64)
+    used = [i for i, (z, n) in enumerate(every) if 0 < z <= budget and n > 0]
+    if not used:
+        return out
+    unit = math.gcd(*(every[i][0] for i in used))
+    z, n, budget = [every[i][0] // unit for i in used], [every[i][1] for i in used], budget // unit
+    step = min(budget, SUMS)
+    while step * items_of(z, n, step) > WORK and step > 1:
+        step //= 2
+    taken, left = [0] * len(z), budget
+    if left > step:
+        whole = sum(a * b for a, b in zip(z, n, strict=True))
+        taken = [b * (budget - step) // whole for b in n]
+        left -= sum(a * b for a, b in zip(z, taken, strict=True))
+        for reserve in (step // 2, 0):
+            for k in sorted(range(len(z)), key=lambda k: -z[k]):
+                if left > step:
+                    m = max(0, min(n[k] - taken[k], (left - reserve) // z[k]))
+                    taken[k] += m
+                    left -= m * z[k]
+    open_ = [k for k in range(len(z)) if taken[k] < n[k] and z[k] <= left] if left <= step else []
+    if open_:
+        for k, m in zip(open_, close_budget([z[k] for k in open_], [n[k] - taken[k] for k in open_], left), strict=True):
             taken[k] += m
-            left -= m * int(sizes[k])
-    for k in np.argsort(-sizes, kind="stable").tolist():  # what still fits, without a reserve
-        if left <= step:
-            break
-        if sizes[k]:
-            m = min(int(counts[k] - taken[k]), left // int(sizes[k]))
-            taken[k] += m
-            left -= m * int(sizes[k])
-    rest = min(left, step)
-    usable = (sizes > 0) & (sizes <= rest) & (counts > taken)
-    more = np.zeros_like(taken)
-    if usable.any():
-        more[usable] = close_budget(sizes[usable], (counts - taken)[usable], rest)
-    return taken + more
-
-
-def last_words(sizes: np.ndarray, counts: np.ndarray) -> int:
-    """Words that the dynamic programme closes: three times the largest size, if its table stays within WORK cells."""
-    step = max(STEP, 3 * int(sizes.max(initial=0)))
-    some = (sizes > 0) & (counts > 0)
-    while step > STEP:
-        items = np.ceil(np.log2(np.minimum(counts[some], step // sizes[some]) + 1)).sum()
-        if step * items <= WORK:
-            break
-        step = max(STEP, step // 2)
-    return step
+    out[used] = taken
+    return out
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     order = np.argsort(sizes)
     sizes, counts = sizes[order], counts[order]
-    source_size, budget = int((sizes * counts).sum()), int(pdf["target"].iloc[0])
+    source_size, budget = sum(int(z) * int(n) for z, n in zip(sizes, counts, strict=True)), int(pdf["target"].iloc[0])
     base = 1 if budget >= source_size else 0
     return pd.DataFrame({"source": pdf["source"].iloc[0], "size": sizes, "base": base, "n_more": fit(sizes, counts, budget - base * source_size)})
 
 
 def targets(thin: DataFrame) -> DataFrame:
-    """source, source_size, target; a row a source, which the driver shares the budget over."""
+    """source, source_size, target of each source."""
     spark = thin.sparkSession
-    rows = thin.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [r["n"] for r in rows]
-    got = share_out(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(rows))], SHARE * sum(sizes), MOST)
-    return spark.createDataFrame([(r["source"], n, t) for r, n, t in zip(rows, sizes, got, strict=True)], "source string, source_size bigint, target double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = thin.groupBy("source").agg(F.sum("size").alias("n")).repartitionByRange(parts, *order)
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "sources")
+    # a number a range: how many sources lie in the ranges before
+    offsets, before = [], 0
+    for r in sorted(dealt.groupBy("part").agg(F.count("*").alias("k")).collect()):
+        offsets.append((r["part"], before))
+        before += r["k"]
+    starts = spark.createDataFrame(offsets, "part int, before bigint")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
+    weight = F.lit(0.0)
+    for i, x in enumerate(WEIGHTS):
+        weight = F.when(F.pmod("rank", F.lit(len(WEIGHTS))) == i, F.lit(float(x))).otherwise(weight)
+    ranked = materialize(dealt.join(starts, "part").withColumn("rank", rank).select("source", "n", weight.alias("w")), "ranked-sources")
+    full = lambda unit: F.col("n") * F.lit(MOST) < F.lit(unit) * F.col("w")
+    unit, stopped = 0.0, -1
+    while True:  # sources that reach MOST times their size stay there; what is left is shared by the others
+        got = ranked.agg(F.sum("n").alias("n"), F.sum(F.when(full(unit), F.col("n"))).alias("full"), F.count(F.when(full(unit), True)).alias("k"), F.sum(F.when((F.col("n") > 0) & ~full(unit), F.col("w"))).alias("w")).first()
+        if got["k"] == stopped or not got["w"]:
+            break
+        stopped, unit = got["k"], (SHARE * got["n"] - MOST * (got["full"] or 0)) / got["w"]
+    return ranked.select("source", F.col("n").alias("source_size"), F.when(F.col("n") == 0, F.lit(0.0)).when(full(unit), F.col("n") * F.lit(float(MOST))).otherwise(F.lit(unit) * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def mix(docs: DataFrame) -> DataFrame:
     per_source = targets(thin)
     by_size = thin.groupBy("source", "size").agg(F.count("*").alias("n"))
     same = lambda a, b, *more: [a["source"].eqNullSafe(b["source"]), *[a[c] == b[c] for c in more]]
-    t = F.broadcast(per_source)
+    t = materialize(per_source, "targets")
     plan = materialize(by_size.join(t, same(by_size, t), "left").select(by_size["source"], "size", "n", "target").groupBy("source").applyInPandas(_fit_source, "source string, size bigint, base int, n_more bigint"), "plan")
     # how many rows of a size come in the buckets before each
     buckets = thin.groupBy("source", "size", "bucket").agg(F.count("*").alias("k"))
@@ -171,6 +171,7 @@ def op4(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
-    taken = mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].cast("string").eqNullSafe(F.col("__source")) & (size_of("text") == F.col("__size"))
-    return docs.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).select(F.struct("doc_id", "source", "size").alias("k"), "copies")
+    rows = packed(docs, F.struct(F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size")).alias("key"))
+    on = rows["key.doc_id"].eqNullSafe(F.col("k.doc_id")) & rows["key.source"].eqNullSafe(F.col("k.source")) & (rows["key.size"] == F.col("k.size"))
+    return rows.join(taken, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
