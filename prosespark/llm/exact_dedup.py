@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import materialize, mix64
+from prosespark.llm.common import materialize, mix64, packed
 
 #: Distinct digests a shard, about.
 SHARD = 16_384
@@ -161,7 +161,7 @@ def op7(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows one."""
     rows = materialize(thin(docs), "digests")
-    stay = verdicts(rows).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__keep_id"), F.col("digest").alias("__keep_digest")).distinct()
-    marked = docs.withColumn("__digest", digest_of("text"))
-    same = marked["doc_id"].cast("bigint").eqNullSafe(F.col("__keep_id")) & (marked["__digest"] == F.col("__keep_digest"))
-    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    stay = verdicts(rows).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("keep"), F.col("digest").alias("keep_digest")).distinct()
+    marked = packed(docs, F.col("doc_id").cast("bigint").alias("id"), digest_of("text").alias("digest"))
+    same = marked["id"].eqNullSafe(F.col("keep")) & (marked["digest"] == F.col("keep_digest"))
+    return marked.join(stay, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")

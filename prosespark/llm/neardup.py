@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import materialize, mix64, release, slices, text_bytes
+from prosespark.llm.common import materialize, mix64, packed, release, slices, text_bytes
 from prosespark.llm.quality import word_hashes
 
 K, NEED, SALT = 32, 14, 41
@@ -289,6 +289,7 @@ def op5(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns; of rows with one id and text one."""
-    stay = grouped(docs, width, percent).where("stays").select(F.col("doc_id").alias("__keep_id"), F.col("th").alias("__keep_th")).distinct()
-    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__keep_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__keep_th"))
-    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = grouped(docs, width, percent).where("stays").select(F.col("doc_id").alias("keep"), F.col("th").alias("keep_th")).distinct()
+    rows = packed(docs, F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    kept = rows.join(stay, rows["id"].eqNullSafe(F.col("keep")) & (rows["th"] == F.col("keep_th")), "left_semi")
+    return kept.dropDuplicates(["id", "th"]).select("row.*")
