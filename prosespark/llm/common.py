@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +71,81 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+#: Labels that a sample holds at most, the most frequent ones.
+LABELS = 400
+
+
 def sampled(rows: DataFrame, label: str, per_class: int, seed: int) -> tuple[DataFrame, dict]:
     """About per_class rows of each label, by a seeded hash of doc_id, and the row count of each label.
 
-    The expected sample is per_class rows a label however long the table is; callers cut what they collect to
-    exactly that many.
+    The expected sample is 1.1 * per_class rows a label however long the table is; callers cut what they collect to
+    per_class at most. Only the LABELS most frequent labels are sampled, equal ones by name.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(LABELS).collect()}
+    if not counts:
+        return rows.limit(0), counts
     span = 1 << 30
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(span, int(span * 1.1 * per_class / n) + 1))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(span)) < share), counts
+    shares = rows.sparkSession.createDataFrame([(k, min(span, int(span * 1.1 * per_class / n) + 1)) for k, n in counts.items()], f"own_label {dict(rows.dtypes)[label]}, own_share bigint")
+    inside = (rows[label] == F.col("own_label")) & (F.pmod(F.xxhash64(rows["doc_id"], F.lit(seed)), F.lit(span)) < F.col("own_share"))
+    return rows.join(F.broadcast(shares), inside).select(*[rows[c] for c in rows.columns]), counts
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int, seed: int) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """(doc_id, whole text, label) of a bounded sample of documents with label 0 or 1, and the rows of each label.
+
+    per_class rows of each label at most, in the order of a seeded hash of doc_id; a text that would take a label's
+    share of `chars` characters beyond half of them is passed over. Documents with conflicting labels are left out, and of
+    rows with one doc_id that with the least hash of its text is taken.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    marks = marks.agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most")).where("label = most").select("doc_id", "label")
+    picked, counts = sampled(marks, "label", per_class, seed)
+    # some 1.1 * per_class rows a class by construction, so the broadcast is bounded
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id")
+    sizes = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.char_length("text").alias("n"))).alias("t")).select("doc_id", "label", "t.h", "t.n", F.xxhash64("doc_id", F.lit(seed)).alias("turn")).collect()
+    taken, held, room = [], {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r["turn"], r["doc_id"])):
+        if held[r["label"]] < per_class and room[r["label"]] + r["n"] <= chars // 2:
+            held[r["label"]] += 1
+            room[r["label"]] += r["n"]
+            taken.append((r["doc_id"], r["h"]))
+    if not taken:
+        return [], counts
+    chosen = docs.sparkSession.createDataFrame(taken, "d bigint, h bigint")
+    texts = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h")))
+    got = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in got), counts
+
+
+@functools.cache
+def _lower_letters() -> np.ndarray:
+    """The first lower-case code point of each letter, -1 for what is none."""
+    out = np.full(0x110000, -1, np.int32)
+    for x in range(0x110000):
+        c = chr(x)
+        if c.isalpha():
+            out[x] = ord(c.lower()[0])
+    return out
+
+
+def letter_table(codes: dict[str, int], rest: int, other: int) -> np.ndarray:
+    """The code of each code point: that of its lower-case letter, `rest` for other letters, `other` for what is none."""
+    lower = _lower_letters()
+    of = np.full(0x110000, rest, np.uint16)
+    for c, k in codes.items():
+        of[ord(c)] = k
+    return np.where(lower < 0, np.uint16(other), of[lower])
+
+
+def chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """As slices, for many small sizes."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield start, stop
+        start = stop
 
 
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -107,6 +172,38 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         yield i, k, [t or "" for t in column.slice(i, k - i).to_pylist()]
 
 
+class Memory:
+    """What a worker remembers by key, in two generations of half the bytes each: what isn't asked for again goes first."""
+
+    def __init__(self, limit: int, longest: int):
+        self.limit, self.longest = limit, longest
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def find(self, wanted: set, learn: Callable[[list], Iterable[tuple[Any, Any, int]]]) -> dict:
+        """A dict that holds every wanted key; `learn` gives key, value and bytes of those that aren't remembered."""
+        if self.held > self.limit // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        young, old, brief, new = self.young, self.old, {}, []
+        for k in wanted - young.keys():
+            if (kept := old.get(k)) is not None:
+                young[k] = kept
+                self.held += 250 + 2 * len(k)
+            else:
+                new.append(k)
+        for k, value, size in learn(new) if new else ():
+            if len(k) <= self.longest:
+                young[k] = value
+                self.held += size
+            else:
+                brief[k] = value
+        return young | brief if brief else young
+
+
 def release() -> None:
     """Give back what a finished task held: idle workers of an executor keep their memory otherwise."""
     gc.collect()

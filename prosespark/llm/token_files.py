@@ -24,24 +24,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosespark.llm.bpe import byte_symbols, normalised_words
-from prosespark.llm.common import materialize, release, scratch_path
+from prosespark.llm.bpe import Splitter, byte_symbols
+from prosespark.llm.common import Memory, materialize, release, scratch_path, text_slices
 
-END_ID, LENGTH, BATCH, MEMORY = 2, 2048, 64, 300_000
+END_ID, LENGTH, BATCH = 2, 2048, 64
+#: Bytes that a worker's memory of pieces may take, about; longer ones than KEPT aren't remembered; bytes of text encoded
+#: at a time.
+MEMORY_BYTES, KEPT, STEP = 72 << 20, 64, 2 << 20
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 class LibraryEncoder:
-    """The tokenizers library, its model asked once for each different word.
+    """The tokenizers library, asked once for each different piece that the memory holds.
 
-    The file's pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn:
-    words are normalised and cut as the file says, and the library's model gives a piece's ids. Texts that hold a
-    special token's text, and files that are made otherwise, go through the library whole.
+    The file's pre-tokenizer drops white space and never joins across it, so a text's ids are those of its pieces in
+    turn. Texts of plain letters (the library was asked what it makes of each) are cut into pieces here, and the library's
+    model gives a piece's ids; in other texts each word goes through the library whole, from normaliser to model. So do
+    whole texts with special tokens, and all texts where the file is made otherwise.
     """
 
     def __init__(self, path: str):
@@ -51,41 +54,41 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        spec = json.loads(self.library.to_str())
-        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_words = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
-        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.by_words else None
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        with open(path, encoding="utf-8") as f:
+            splitter = Splitter(json.load(f), self.library)
+        self.special, self.plain, self.find = list(splitter.special), splitter.plain if splitter.usual else None, splitter.find
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.symbols = byte_symbols()
-        self.model = self.library.model
-        self.memory: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for p in self.pieces(word):
-            plain = p if p.isascii() and p.isprintable() else "".join([self.symbols[x] for x in p.encode("utf-8", "replace")])
-            ids += [x.id for x in self.model.tokenize(plain)]
-        return array(self.code, ids).tobytes()
+        self.memory = Memory(MEMORY_BYTES, KEPT)
+
+    def _asked(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> Iterator[tuple[str, bytes, int]]:
+        """A piece of plain letters is asked of the model; a word, known by a space before it, of all the library."""
+        words = [p[1:] for p in pieces if p[0] == " "]
+        whole = dict(zip(words, self._asked(words), strict=True))
+        tokenize, symbols, code = self.library.model.tokenize, self.symbols, self.code
+        for p in pieces:
+            ids = whole[p[1:]] if p[0] == " " else array(code, [x.id for x in tokenize(p if p.isascii() and p.isprintable() else "".join([symbols[x] for x in p.encode()]))]).tobytes()
+            yield p, ids, 200 + len(p) + len(ids)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text in machine order; texts together should be of some MB at most."""
+        cut = [self._pieces(t) for t in texts]
+        memory = self.memory.find(set().union(*[own for own in cut if own is not None]), self._learn)
+        for t, own in zip(texts, cut, strict=True):
+            yield b"".join(map(memory.__getitem__, own)) if own is not None else self._asked([t])[0]
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text of plain letters; else, of a file of the usual kind, what white space parts; else None."""
+        if not self.plain or ("<" in text and any(x in text for x in self.special)):
+            return None
+        return self.find(text.lower()) if self.plain(text) else [" " + w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
 
     def encode(self, text: str) -> bytes:
         """The ids of one text in machine order."""
-        if not self.by_words or ("<" in text and any(x in text for x in self.special)):
-            return self._whole(text)
-        words = normalised_words(text)
-        try:
-            return b"".join(map(self.memory.__getitem__, words))
-        except KeyError:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            for w in words:
-                if w not in self.memory:
-                    self.memory[w] = self._word(w)
-            return b"".join(map(self.memory.__getitem__, words))
+        return next(self.encode_all([text]))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -148,27 +151,29 @@ def write_files(docs: DataFrame, path: str, out: str, length: int = LENGTH, end_
         fs.create_dir(base, recursive=True)
         name, mine = f"{base}/part-{part:06d}", f".{uuid.uuid4().hex}"
         rows = total = 0
-        with fs.open_output_stream(f"{name}.arrow{mine}") as sink, fs.open_output_stream(f"{name}.idx{mine}") as index_sink:
-            writer = SequenceWriter(sink, dtype, length)
-            schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
-            index = pa.ipc.new_file(index_sink, schema)
-            for b in batches:
-                sizes = []
-                for text in b.column(1).to_pylist():
-                    ids = (encoder.encode(text) if text else b"") + end
-                    sizes.append(len(ids) // dtype.itemsize)
-                    writer.add(ids)
-                index.write_batch(pa.record_batch([b.column(0), pa.array(sizes, pa.int64())], schema=schema))
-                rows, total = rows + len(sizes), total + sum(sizes)
-            writer.close()
-            index.close()
-        encoder.memory.clear()
-        release()
+        try:
+            with fs.open_output_stream(f"{name}.arrow{mine}") as sink, fs.open_output_stream(f"{name}.idx{mine}") as index_sink:
+                writer = SequenceWriter(sink, dtype, length)
+                schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+                index = pa.ipc.new_file(index_sink, schema)
+                for b in batches:
+                    sizes: list[int] = []
+                    for _, _, texts in text_slices(b.column(1), STEP):
+                        for ids in encoder.encode_all(texts):
+                            sizes.append(len(ids) // dtype.itemsize + 1)
+                            writer.add(ids + end)
+                    index.write_batch(pa.record_batch([b.column(0), pa.array(sizes, pa.int64())], schema=schema))
+                    rows, total = rows + len(sizes), total + sum(sizes)
+                writer.close()
+                index.close()
+        finally:
+            encoder.memory.forget()
+            release()
         for kind in ("arrow", "idx"):
             fs.move(f"{name}.{kind}{mine}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64()), pa.array([total], pa.int64())], ["part", "rows", "n_ids"])
 
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(dealt.mapInArrow(run, "part int, rows bigint, n_ids bigint"), "token-files")
 
 
@@ -183,8 +188,12 @@ class TokenFile:
         self.index = pa.ipc.open_file(pa.memory_map(f"{name}.idx") if local else fs.open_input_file(f"{name}.idx"))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file's memory) and mask of sequence i."""
-        b = self.file.get_batch(i // BATCH) if self.file.num_record_batches else None
+        """Ids (a view of the file's memory) and mask of sequence i; IndexError beyond the last."""
+        if not 0 <= i // BATCH < self.file.num_record_batches:
+            raise IndexError(i)
+        b = self.file.get_batch(i // BATCH)
+        if i % BATCH >= b.num_rows:
+            raise IndexError(i)
         k, n = i % BATCH, b.schema.field("ids").type.list_size
         return b.column(0).values.to_numpy(zero_copy_only=True)[(b.column(0).offset + k) * n :][:n], b.column(1).values.to_numpy(zero_copy_only=False)[k * n : k * n + n]
 
