@@ -1,25 +1,28 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two words counts the subsequences of ORDER letters that they share, gaps allowed within SPAN letters,
-each weighed by DECAY to the power of the span it covers in either word, and is scaled by the root of the summed squares
-of the weights in each word (its own kernel, where no subsequence comes twice). A word carries marks for its ends, and loses what is no letter (`i.d-iot`); a run of single letters also makes one word
-(`i d i o t`), and so do neighbouring words of up to JOINED letters together (`i d iot`, `sc um`). Inserted letters leave most subsequences standing.
-
-Training: labelled sentences enter as bags of words. In each toxic document the word that tells it apart best is its
-witness; so is any word that comes in too many toxic and no clean documents for chance. Witnesses, and copies of them
-with a letter inserted, stand against words of clean documents, first by frequency, then also those the machine finds
-worst; the machine is fitted, witnesses are chosen anew, and again. Words are mapped by K(x, L) K(L, L)^(-1/2) for LANDMARKS
-words L, where a linear machine with squared hinge loss is fitted by Newton steps. A document's margin is that of its worst
-word, over all sentences; Platt's method turns it into a probability. For scoring, machine and map fold into one
-weight a subsequence, which gives the same decision.
-
-Null, empty and letterless texts have the margin of a word without subsequences. Without labels of both kinds the
-score is 0. Repeated rows give repeated results; extra columns are ignored.
+A sentence is compared by its windows: each word, neighbouring words of up to PHRASE letters together (three at most,
+more where they have JOINED letters together or are single letters). What is no letter is left out (`i.d-iot`), and so
+are the breaks inside a window (`i d iot`, `sc um`), so that insults cut by marks or white space and insults of several
+words are compared whole. The kernel of two windows counts the subsequences of ORDER letters that they share, gaps
+allowed within SPAN letters, each weighed by DECAY to the power of the span it covers in either, with marks for their
+ends, and is scaled by the root of the summed squares of the weights in each (its own kernel, where no subsequence comes
+twice). Inserted letters leave most subsequences standing.
+
+Training: labelled sentences enter as bags of windows. In each toxic document the window that tells it apart best is its
+witness; so is any that comes in too many toxic and no clean documents for chance. Witnesses, and copies of them with a
+letter inserted, stand against windows of clean documents, first by frequency, then also those the machine finds worst;
+the machine is fitted, witnesses are chosen anew, and again. Windows are mapped by K(x, L) K(L, L)^(-1/2) for LANDMARKS
+windows L, where a linear machine with squared hinge loss is fitted by Newton steps. A document's margin is that of its
+worst window, over all sentences; Platt's method turns it into a probability. For scoring, machine and map fold into
+one weight a subsequence, which gives the same decision; nothing is remembered between batches.
+
+Null, empty and letterless texts have the margin of a window without subsequences. Without labels of both kinds the
+score is 0. Documents whose labels conflict teach nothing; of repeated doc_ids one row teaches. Repeated rows give
+repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,20 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import fold_of, release, sampled, slices
+from prosespark.llm.common import chunks, fold_of, labelled, letter_table, release, slices, text_slices
 from prosespark.llm.quality import platt, sigmoid
 
-ORDER, SPAN, DECAY, LANDMARKS, LETTERS = 4, 6, 0.75, 256, 40
-#: Labelled rows a class and characters of each that training sees.
-ROWS_PER_CLASS, CHARS_PER_ROW, SEED, THRESHOLD = 800, 6000, 31, 0.3
-MEMORY = 300_000
-#: Letters of neighbouring words that are also scored as one word.
-JOINED = 12
+ORDER, SPAN, DECAY, LANDMARKS, LETTERS = 4, 6, 0.75, 400, 40
+#: Labelled rows a class that training sees, whole, and characters that they hold together at most.
+ROWS_PER_CLASS, CHARS_IN_ALL, SEED, THRESHOLD = 800, 16_000_000, 31, 0.3
+#: Letters of windows of several words: any number, and up to three, of them.
+JOINED, PHRASE = 12, 20
 SIZE = LETTERS + 4  # 0 parts words; then letters, other letters, and the two marks
 HEAD, TAIL = LETTERS + 2, LETTERS + 3
 PATTERNS = [(a, a + b, a + b + c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
-#: A run of three letters or more that stand alone.
-SINGLE = re.compile(rb"(?:(?<=\x00)|\A)[^\x00](?:\x00+[^\x00](?=\x00|\Z)){2,}")
+#: Bytes of text scored at a time.
+STEP = 1 << 19
 SCHEMA = "doc_id bigint, score double, predicted int"
 
 
@@ -51,33 +53,46 @@ class Coder:
 
     def __init__(self, letters: str):
         known = {c: i + 1 for i, c in enumerate(letters)}
-        self.table = np.full(0x110000, 255, np.uint8)
-        for x in range(0x10000):
-            c = chr(x)
-            if c.isalpha():
-                self.table[x] = known.get(c.lower()[0], LETTERS + 1)
-            elif c.isspace():
-                self.table[x] = 0
+        self.table = letter_table(known, LETTERS + 1, 255).astype(np.uint8)
+        self.table[[x for x in range(0x3001) if chr(x).isspace()]] = 0
+
+    def codes(self, text: str) -> np.ndarray:
+        codes = self.table.take(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
+        return codes[codes != 255]
 
     def words(self, text: str) -> set[bytes]:
-        codes = self.table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].tobytes().translate(None, b"\xff")
-        pieces = [w for w in codes.split(b"\x00") if w]
-        out = set(pieces)
-        for m in SINGLE.findall(codes):
-            out.add(m.replace(b"\x00", b""))
-        return out | joins(pieces)
-
-
-def joins(pieces: list[bytes]) -> set[bytes]:
-    """What any number of neighbouring words make together, up to JOINED letters."""
-    out: set[bytes] = set()
-    room = [JOINED - len(w) for w in pieces]
-    now = list(zip(range(1, len(pieces)), pieces, room))
-    last = len(pieces)
-    while now:
-        now = [(e + 1, w + pieces[e], JOINED - len(w) - len(pieces[e])) for e, w, r in now if e < last and len(pieces[e]) <= r]
-        out.update(w for _, w, _ in now)
-    return out
+        """The distinct windows of a text."""
+        letters, start, size, _ = windows([self.codes(text)])
+        flat = letters.tobytes()
+        return {flat[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)}
+
+
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All letters of coded texts without breaks, and the first letter, length and text of each window."""
+    sizes = np.array([x.size for x in texts])
+    codes = np.concatenate([np.append(x, np.uint8(0)) for x in texts]) if texts else np.zeros(0, np.uint8)
+    of_text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    inside = codes > 0
+    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    letters = codes[inside]
+    before = np.cumsum(inside) - inside  # letters before each place
+    bound = np.append(before[begins], letters.size)
+    text = of_text[begins]
+    start, size, own = [bound[:-1]], [np.diff(bound)], [text]
+    at = np.arange(begins.size)
+    for k in range(2, PHRASE + 1):
+        at = at[at + k <= begins.size]
+        at = at[text[at] == text[at + k - 1]]
+        n = bound[at + k] - bound[at]
+        fits = n <= PHRASE
+        at, n = at[fits], n[fits]
+        if not at.size:
+            break
+        wanted = (n <= JOINED) | (k <= 3) | (n == k)
+        start.append(bound[at[wanted]])
+        size.append(n[wanted])
+        own.append(text[at[wanted]])
+    return letters, np.concatenate(start), np.concatenate(size), np.concatenate(own)
 
 
 def _entries(buffer: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -90,15 +105,19 @@ def _entries(buffer: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.nd
                 yield c + 1, ((buffer[:n] * SIZE + buffer[a : a + n]) * SIZE + buffer[b : b + n]) * SIZE + buffer[c : c + n], inner
 
 
+def _scale(lens: np.ndarray) -> np.ndarray:
+    own = np.zeros(len(lens))
+    for _, _, c in PATTERNS:
+        own += np.maximum(0, lens - c) * DECAY ** (2 * c + 2)
+    return 1 / np.sqrt(np.maximum(own, 1e-12))
+
+
 def _marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all words with their marks, the word of each, and each word's scale."""
+    """Codes of all windows with their marks, the window of each, and each window's scale."""
     lens = np.array([len(w) + 2 for w in words], np.int64)
     head, tail = bytes((HEAD,)), bytes((TAIL,))
     buffer = np.frombuffer(b"".join([head + w + tail for w in words]), np.uint8).astype(np.int32)
-    own = np.zeros(len(words))
-    for _, _, c in PATTERNS:
-        own += np.maximum(0, lens - c) * DECAY ** (2 * c + 2)
-    return buffer, np.repeat(np.arange(len(words), dtype=np.int32), lens), 1 / np.sqrt(np.maximum(own, 1e-12))
+    return buffer, np.repeat(np.arange(len(words), dtype=np.int32), lens), _scale(lens)
 
 
 def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,28 +147,40 @@ class Machine:
             self.coder = Coder(self.letters)
             self.table = np.zeros(SIZE**4, np.float32)
             self.table[self.keys] = self.weights
-            self.memory: dict[bytes, float] = {}
             self._ready = True
 
-    def margins(self, words: list[bytes]) -> np.ndarray:
+    def _sums(self, buffer: np.ndarray, owner: np.ndarray, scale: np.ndarray) -> np.ndarray:
         self._get_ready()
-        buffer, owner, scale = _marked(words)
-        at = np.zeros(buffer.size)
+        at = np.zeros(buffer.size, np.float32)
         for span, key, inner in _entries(buffer, owner):
-            at[: key.size] += self.table.take(key) * (inner * DECAY**span)
-        return np.bincount(owner, at, len(words)) * scale + self.bias
+            at[: key.size] += self.table.take(key) * (inner * np.float32(DECAY**span))
+        return np.bincount(owner, at, len(scale)) * scale + self.bias
+
+    def margins(self, words: list[bytes]) -> np.ndarray:
+        return self._sums(*_marked(words))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probability of each text by its worst word."""
+        """Probability of each text by its worst window."""
+        return sigmoid(self.a * self.worst(texts) + self.b)
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The margin of the worst window of each text."""
         self._get_ready()
-        bags = [self.coder.words(t) for t in texts]
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        new = [w for w in set().union(*bags) if w not in self.memory] if bags else []
-        for i, k in slices(np.array([len(w) for w in new]), 1 << 20):
-            self.memory.update(zip(new[i:k], self.margins(new[i:k]).tolist(), strict=True))
-        worst = np.array([max(map(self.memory.__getitem__, bag), default=self.bias) for bag in bags])
-        return sigmoid(self.a * worst + self.b)
+        letters, start, size, own = windows([self.coder.codes(t) for t in texts])
+        worst = np.full(len(texts), self.bias)
+        for i, k in chunks(size + 2, 1 << 20):
+            lens = size[i:k] + 2
+            owner = np.repeat(np.arange(k - i, dtype=np.int32), lens)
+            ends = np.cumsum(lens)
+            place = np.arange(ends[-1]) - np.repeat(ends - lens, lens) + np.repeat(start[i:k] - 1, lens)
+            buffer = letters.take(place, mode="clip").astype(np.int32)
+            buffer[ends - lens], buffer[ends - 1] = HEAD, TAIL
+            got = self._sums(buffer, owner, _scale(lens))
+            order = np.argsort(own[i:k], kind="stable")
+            mine = own[i:k][order]
+            cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            np.maximum.at(worst, mine[cuts], np.maximum.reduceat(got[order], cuts))
+        return worst
 
 
 def _hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -170,13 +201,13 @@ def _hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -
 
 
 def _unlike(bags: list[set[bytes]]) -> list[int]:
-    """Rows that share fewer than 4 of the 12 least word hashes with each row kept before: copies would count twice."""
+    """Rows that share fewer than 10 of the 12 least window hashes with each row kept before: copies would count twice."""
     seen: dict[int, list[int]] = {}
     kept = []
     for i, bag in enumerate(bags):
         least = sorted(map(xxhash.xxh3_64_intdigest, bag))[:12]
         shared = Counter(k for h in least for k in seen.get(h, ()))
-        if max(shared.values(), default=0) < min(4, max(1, len(least))):
+        if max(shared.values(), default=0) < min(10, max(1, len(least))):
             kept.append(i)
             for h in least:
                 seen.setdefault(h, []).append(i)
@@ -191,9 +222,13 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
     coder = Coder(letters)
     bags = [coder.words(t) for t in texts]
     alone = _unlike(bags)
-    bags, y, weight = [bags[i] for i in alone], y[alone], weight[alone]
+    texts, bags, y, weight = [texts[i] for i in alone], [bags[i] for i in alone], y[alone], weight[alone]
     if len(set(y.tolist())) < 2:
         return None
+    # of windows of several words, those that come in two documents at least can tell
+    held = Counter(w for b in bags for w in b)
+    single = {w for t in texts for w in coder.codes(t).tobytes().split(b"\x00")}
+    bags = [{w for w in b if held[w] > 1 or w in single} for b in bags]
     toxic, clean = Counter(), Counter()
     for bag, mark in zip(bags, y.tolist(), strict=True):
         (toxic if mark else clean).update(bag)
@@ -207,6 +242,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
     rng = np.random.default_rng(SEED)
     known = sorted(set(clean), key=lambda w: (-clean[w], w))
     hard = known[:3000] + known[3000 :: max(1, len(known) // 3000)]
+    edge = known  # windows of clean documents that the machine should know first
     machine = None
     for turn in range(4):
         positive = Counter(witnesses)
@@ -218,7 +254,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
                 cut = int(rng.integers(1, len(w)))
                 names.append(w[:cut] + bytes((int(rng.integers(1, LETTERS)),)) + w[cut:])
         marks = [*names[: min(whole, LANDMARKS // 2)]]
-        marks += [w for w in hard if w not in positive][-(LANDMARKS - len(marks)) :]
+        marks += [w for w in edge[:LANDMARKS] if w not in positive][: LANDMARKS - len(marks)]
         rows = names + [w for w in dict.fromkeys(hard) if w not in positive]
         target = np.concatenate([np.ones(len(names)), -np.ones(len(rows) - len(names))])
         lw, lk, lx = subsequences(marks)
@@ -239,7 +275,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
             if hi > lo:
                 cuts = np.flatnonzero(np.concatenate([[True], rw[lo + 1 : hi] != rw[lo : hi - 1]]))
                 z[rw[lo:hi][cuts]] = np.add.reduceat(fold[place[lo:hi]] * rx[lo:hi, None], cuts)
-        cost = np.where(target > 0, 10.0 * np.sqrt(np.array([positive.get(w, 0.05) for w in rows])), 3.0)
+        cost = np.where(target > 0, 10.0 * np.sqrt(np.array([positive.get(w, 0.05) for w in rows])), 6.0 * np.sqrt(np.array([1.0 + clean[w] for w in rows])))
         w, bias = _hinge(z, target, cost)
         machine = Machine(letters, keys, (fold @ w).astype(np.float32), bias, 1.0, 0.0)
         if turn < 3:
@@ -250,18 +286,16 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
             best = [max(b, key=lambda x: margin[x] - 0.5 * min(4, clean[x])) for b in toxic_bags]
             witnesses = [x for x in best if margin[x] > -0.5 and clean[x] * n_toxic <= toxic[x] * n_clean * 0.2] or witnesses
             worst = sorted(known, key=lambda x: (-margin[x], x))[:3000]
+            edge = worst
             hard = list(dict.fromkeys([*known[:2000], *known[2000 :: max(1, len(known) // 2000)], *worst]))
-    worst_word = np.concatenate([machine.margins(sorted(b)).max(keepdims=True) if b else np.array([machine.bias]) for b in bags])
-    machine.a, machine.b = platt(worst_word, y.astype(float), weight)
+    worst_window = np.concatenate([machine.worst(texts[i:k]) for i, k in slices(np.array([len(t) for t in texts]), STEP)])
+    machine.a, machine.b = platt(worst_window, y.astype(float), weight)
     return machine
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
-    """Fit on a bounded sample: ROWS_PER_CLASS labelled rows a class, CHARS_PER_ROW characters of each."""
-    marks = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    picked, counts = sampled(marks, "toxic", ROWS_PER_CLASS, SEED)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring("text", 1, CHARS_PER_ROW).alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
+    """Fit on a bounded sample: ROWS_PER_CLASS labelled rows a class, whole, of CHARS_IN_ALL characters in all."""
+    rows, counts = labelled(docs, labels, "toxic", ROWS_PER_CLASS, CHARS_IN_ALL, SEED)
     if not rows:
         return None
     y = np.array([r[2] for r in rows])
@@ -275,16 +309,17 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = probabilities(machine, b.column(1).to_pylist())
+            p = probabilities(machine, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def probabilities(machine: Machine | None, texts: list[str | None]) -> np.ndarray:
+def probabilities(machine: Machine | None, texts: pa.Array) -> np.ndarray:
     if machine is None:
         return np.zeros(len(texts))
-    out = [machine.score([t or "" for t in texts[i:k]]) for i, k in slices(np.array([len(t or "") for t in texts]))]
+    out = [machine.score(some) for _, _, some in text_slices(texts, STEP)]
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -301,9 +336,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(probabilities(machine, b.column(at).to_pylist()) < THRESHOLD))
-        if machine is not None:
-            machine.memory = {}
+            yield b.filter(pa.array(probabilities(machine, b.column(at)) < THRESHOLD))
         release()
 
     return docs.mapInArrow(run, docs.schema)
