@@ -3,11 +3,13 @@
 For each language a suffix automaton of a bounded sample of labelled text is built. A document is parsed against it
 from left to right into longest matches: a phrase ends where the automaton has no further arc. The fewer phrases a
 language needs per character, each weighed by the bits that name a place in its sample, the lower its cross entropy;
-the lowest wins, equal ones by name. Texts are parsed whole, in pieces of PIECE characters side by side; every piece
-starts a phrase, for each language alike.
+the lowest wins, equal ones by name. Texts are parsed whole: pieces of PIECE characters are first parsed side by side as
+if each began a phrase, then the phrase left open before each piece is carried into it until both parses are in one
+state, from where they are the same. So the counts are those of one parse from the first character on.
 
-Null or letterless texts give `und` with score 0; so does an empty set of labelled rows. Repeated rows give repeated
-results; extra columns are ignored.
+Each language has codes of its own for the LETTERS most frequent letters of its sample; the others share one. Null or
+letterless texts give `und` with score 0; so does an empty set of labelled rows. Repeated rows give repeated results; of
+labelled rows with one doc_id that with the least hash of its text teaches; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import fold_of, sampled, slices
+from prosespark.llm.common import fold_of, letter_table, sampled, text_slices
 
-#: Labelled rows a language, characters of each, and characters that all languages' samples hold together at most.
-ROWS_PER_LANG, CHARS_PER_ROW, CHARS_PER_LANG, CHARS_IN_ALL = 200, 1000, 40_000, 800_000
+#: Labelled rows a language, characters of their whole texts at most, and the same of all languages together. A first
+#: text that is longer is taken alone, up to the limit, so that no language goes without.
+ROWS_PER_LANG, CHARS_PER_LANG, CHARS_IN_ALL = 200, 40_000, 800_000
 LETTERS, PIECE, SEED = 62, 1024, 11
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -40,12 +43,7 @@ class Coder:
 
     def __init__(self, letters: str):
         self.size = len(letters) + 2
-        known = {c: i + 1 for i, c in enumerate(letters)}
-        self.table = np.zeros(0x110000, np.uint8)
-        for x in range(0x10000):
-            c = chr(x)
-            if c.isalpha():
-                self.table[x] = known.get(c.lower()[0], self.size - 1)
+        self.table = letter_table({c: i + 1 for i, c in enumerate(letters)}, self.size - 1, 0)
 
     def __call__(self, text: str) -> np.ndarray:
         codes = self.table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
@@ -97,11 +95,19 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        self.coder = Coder(alphabet([samples[x] for x in self.langs]))
+        own = [alphabet([samples[x]]) for x in self.langs]
+        self.coder = Coder("".join(sorted(set("".join(own)))))
+        size = self.size = LETTERS + 2
+        # the codes of all languages' letters in each language
+        self.codes = np.full((len(own), self.coder.size), size - 1, np.int32)
+        self.codes[:, 0] = 0
+        every = {c: i + 1 for i, c in enumerate(sorted(set("".join(own))))}
         tables, self.starts, self.bits, base = [], [], [], 0
-        for lang in self.langs:
-            codes = self.coder(samples[lang])
-            arcs = suffix_automaton(codes, self.coder.size)
+        for k, (lang, letters) in enumerate(zip(self.langs, own, strict=True)):
+            for i, c in enumerate(letters):
+                self.codes[k, every[c]] = i + 1
+            codes = self.codes[k][self.coder(samples[lang])]
+            arcs = suffix_automaton(codes, size)
             known = arcs[0] >= 0
             again = (np.where(known, arcs[0], 0) + base) | (np.where(known, 1, 2) << COUNT_BIT)
             rows = np.where(arcs >= 0, arcs + base, again)
@@ -112,29 +118,55 @@ class CrossParser:
             base += len(arcs)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
+    def _step(self, state: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        step = self.table.take(state * self.size + self.codes[:, codes])
+        ends += step >> COUNT_BIT
+        return step & ((1 << COUNT_BIT) - 1)
+
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases of each coded text in each language."""
-        n, size = len(self.langs), self.coder.size
-        pieces = [(i, d[a : a + PIECE]) for i, d in enumerate(docs) for a in range(0, d.size, PIECE)]
+        n = len(self.langs)
         out = np.zeros((len(docs), n), np.int64)
+        pieces = [(i, a, d[a : a + PIECE]) for i, d in enumerate(docs) for a in range(0, d.size, PIECE)]
         if not pieces or not n:
             return out
-        pieces.sort(key=lambda x: -x[1].size)
-        sizes = np.array([p.size for _, p in pieces])
-        grid = np.zeros((sizes[0], len(pieces)), np.int32)
-        for k, (_, p) in enumerate(pieces):
+        pieces.sort(key=lambda x: -x[2].size)
+        sizes = np.array([p.size for _, _, p in pieces])
+        place = {(i, a): k for k, (i, a, _) in enumerate(pieces)}
+        before = np.array([place.get((i, a - PIECE), -1) for i, a, _ in pieces])
+        after = np.array([place.get((i, a + PIECE), -1) for i, a, _ in pieces])
+        grid = np.zeros((sizes[0], len(pieces)), np.uint16)
+        for k, (_, _, p) in enumerate(pieces):
             grid[: p.size, k] = p
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(pieces), 1)
+        start = np.array(self.starts, np.int32)[:, None]
+        fresh = np.repeat(start, len(pieces), 1)
         ends = np.zeros((n, len(pieces)), np.int32)
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
         for j in range(sizes[0]):
             live = alive[j]
-            step = self.table.take(state[:, :live] * size + grid[j, :live])
-            ends[:, :live] += step >> COUNT_BIT
-            state[:, :live] = step & ((1 << COUNT_BIT) - 1)
-        owner = np.array([i for i, _ in pieces])
+            fresh[:, :live] = self._step(fresh[:, :live], grid[j, :live], ends[:, :live])
+        last, more = fresh.copy(), np.zeros_like(ends)
+        asked = np.flatnonzero(before >= 0)
+        while asked.size:  # pieces whose beginning state is another than the last time
+            carried, own = last[:, before[asked]], np.repeat(start, asked.size, 1)
+            a, b = np.zeros_like(carried), np.zeros_like(carried)
+            for j in range(sizes[asked[0]]):
+                live = int(np.searchsorted(-sizes[asked], -j, side="left"))
+                some = grid[j, asked[:live]]
+                carried[:, :live] = self._step(carried[:, :live], some, a[:, :live])
+                own[:, :live] = self._step(own[:, :live], some, b[:, :live])
+                if (carried[:, :live] == own[:, :live]).all():
+                    break
+            more[:, asked] = a - b
+            now = np.where(carried == own, fresh[:, asked], carried)
+            moved = (now != last[:, asked]).any(axis=0)
+            last[:, asked] = now
+            asked = np.sort(after[asked[moved]])
+            asked = asked[asked >= 0]
+        total = ends + more + ((last != start) & (after < 0))
+        owner = np.array([i for i, _, _ in pieces])
         for k in range(n):
-            out[:, k] = np.bincount(owner, ends[k] + (state[k] != self.starts[k]), minlength=len(docs))
+            out[:, k] = np.bincount(owner, total[k], minlength=len(docs))
         return out
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -166,14 +198,27 @@ def parser_of(samples: dict[str, str]) -> CrossParser:
 def learn(docs: DataFrame) -> dict[str, str]:
     """Sample text by language from rows of docs whose lang is not null, bounded by the constants above."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    picked, counts = sampled(rows.select("doc_id", "lang", "text"), "lang", ROWS_PER_LANG, SEED)
+    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    picked, counts = sampled(rows, "lang", ROWS_PER_LANG, SEED)
     if not counts:
         return {}
-    got: dict[str, list] = {x: [] for x in counts}
-    for r in picked.select("lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h"), F.substring("text", 1, CHARS_PER_ROW).alias("t")).collect():
-        got[r["lang"]].append((r["h"], r["t"]))
     room = min(CHARS_PER_LANG, CHARS_IN_ALL // len(counts))
-    return {x: " ".join(t for _, t in sorted(v)[:ROWS_PER_LANG])[:room] for x, v in got.items() if v}
+    # a row of the most that can be used of each text: longer ones are passed over, or cut where they come first
+    got: dict[str, dict[int, tuple]] = {x: {} for x in counts}
+    for r in picked.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("h"), F.xxhash64("text").alias("th"), F.char_length("text").alias("n"), F.substring("text", 1, room).alias("t")).collect():
+        best = got[r["lang"]].get(r["doc_id"])
+        mine = (r["h"], r["doc_id"], r["th"], r["n"], r["t"])
+        got[r["lang"]][r["doc_id"]] = mine if best is None else min(best, mine)
+    out = {}
+    for lang, texts in got.items():
+        taken, left = [], room
+        for *_, n, t in sorted(texts.values())[:ROWS_PER_LANG]:
+            if n + 1 <= left or not taken:
+                taken.append(t)
+                left -= n + 1
+        if taken:
+            out[lang] = " ".join(taken)
+    return out
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -182,14 +227,12 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            sizes = np.array([len(t or "") for t in texts])
             judged: list[tuple[str, float]] = []
-            for i, k in slices(sizes, 1 << 21):
-                judged += parser.judge([t or "" for t in texts[i:k]])
+            for _, _, texts in text_slices(b.column(1), 1 << 21):
+                judged += parser.judge(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in judged], pa.string()), pa.array([x for _, x in judged], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def op1(docs: DataFrame) -> DataFrame:
