@@ -1,12 +1,13 @@
 """Quality rules: counts of words and repeats, and a calibrated logistic regression on hashed n-grams.
 
 The regression sees, of every whole text, hashed word unigrams and bigrams (a bigram of one word with itself has a
-place of its own) and byte n-grams of one to three, each kind as shares of the text's n-grams of that kind. It is
-fitted by gradient descent on a bounded sample of rows labelled for quality, calibrated on a held-back part by Platt's
+place of its own) and character n-grams of one to three, each kind as shares of the text's n-grams of that kind. It is
+fitted by gradient descent on a bounded sample of whole rows labelled for quality, calibrated on a held-back part by Platt's
 method, and a text is kept from a probability of KEEP. Scoring runs over Arrow batches; a row never leaves its task.
 
 Null and empty texts have no words and fail the base rule. Without labels of both kinds the method keeps what passes
-the base rule. Repeated rows give repeated results; extra columns are ignored.
+the base rule. Documents whose labels conflict teach nothing; of repeated doc_ids one row teaches. Repeated rows give
+repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import mix64, sampled, slices, text_bytes
+from prosespark.llm.common import labelled, mix64, slices, text_bytes
 
-#: Labelled rows a class and bytes of each that the fit sees; places of each kind of n-gram; probability to keep.
-ROWS_PER_CLASS, BYTES_PER_ROW, BITS, KEEP, SEED = 600, 3000, 16, 0.5, 23
+#: Labelled rows a class that the fit sees, whole, and characters that they hold together at most; places of each kind
+#: of n-gram; probability to keep.
+ROWS_PER_CLASS, CHARS_IN_ALL, BITS, KEEP, SEED = 600, 16_000_000, 16, 0.5, 23
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -66,13 +68,17 @@ def base_counts(text: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, in
     return len(words), chars, symbols, dup_lines(text), repeat_words(h)
 
 
-def _grams(b: np.ndarray) -> list[np.ndarray]:
-    """Places of the byte n-grams of a buffer, by n; each is its last byte's place."""
-    mask = np.uint32((1 << BITS) - 1)
-    x = b.astype(np.uint32)
-    one = x
-    two = (x[1:] * np.uint32(257) + x[:-1] * np.uint32(0x9E35)) & mask
-    three = (x[2:] * np.uint32(0x01000193) ^ x[1:-1] * np.uint32(0x9E3779B1) ^ x[:-2] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)
+def characters(texts: list[bytes]) -> np.ndarray:
+    """The code points of UTF-8 texts, one after another."""
+    return np.frombuffer(b"".join(texts).decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+
+
+def _grams(x: np.ndarray) -> list[np.ndarray]:
+    """Places of the character n-grams of a buffer of code points, by n; each is its last character's place."""
+    high = np.uint32(32 - BITS)
+    one = (x * np.uint32(0x9E3779B1)) >> high
+    two = (x[1:] * np.uint32(0x85EBCA77) ^ x[:-1] * np.uint32(0x9E3779B1)) * np.uint32(0xC2B2AE3D) >> high
+    three = (x[2:] * np.uint32(0x01000193) ^ x[1:-1] * np.uint32(0x9E3779B1) ^ x[:-2] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> high
     return [one, two, three]
 
 
@@ -89,7 +95,7 @@ KINDS, PLACES = 5, 1 << BITS
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places (kind * PLACES + place) and shares of one text."""
     h = word_hashes(text.split())
-    kinds = [*_word_places(h), *_grams(np.frombuffer(text, np.uint8))] if h.size else []
+    kinds = [*_word_places(h), *_grams(characters([text]))] if h.size else []
     at, share = [], []
     for k, x in enumerate(kinds):
         if x.size:
@@ -138,8 +144,8 @@ class Model:
             inner = owner[1:] == owner[:-1]
             out += np.bincount(owner[1:][inner], self.weights[two[inner] + PLACES], n) / np.maximum(sizes - 1, 1)
         full = [t if s else b"" for t, s in zip(texts, sizes.tolist(), strict=True)]
-        lens = np.array([len(t) for t in full])
-        buffer = np.frombuffer(b"".join(full), np.uint8)
+        lens = np.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in full])
+        buffer = characters(full)
         if buffer.size:
             owner = np.repeat(np.arange(n, dtype=np.int32), lens)
             for k, x in enumerate(_grams(buffer)):
@@ -183,18 +189,14 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> Model | None:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of labelled rows: ROWS_PER_CLASS rows a class, BYTES_PER_ROW bytes of each."""
-    marks = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    picked, counts = sampled(marks, "quality", ROWS_PER_CLASS, SEED)
-    # some 1.1 * ROWS_PER_CLASS rows a class by construction, so the broadcast is bounded
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring("text", 1, BYTES_PER_ROW).alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
+    """Fit on a bounded sample: ROWS_PER_CLASS labelled rows a class, whole, of CHARS_IN_ALL characters in all."""
+    rows, counts = labelled(docs, labels, "quality", ROWS_PER_CLASS, CHARS_IN_ALL, SEED)
     if not rows:
         return None
     y = np.array([r[2] for r in rows])
     share = {k: counts.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([share[k] for k in y.tolist()])
-    return fit([r[1].encode()[:BYTES_PER_ROW] for r in rows], y, weight / weight.mean())
+    return fit([r[1].encode("utf-8", "replace") for r in rows], y, weight / weight.mean())
 
 
 def judge(docs: DataFrame, model: Model | None) -> DataFrame:
