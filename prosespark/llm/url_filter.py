@@ -2,9 +2,12 @@
 
 Host edges come from absolute and scheme-relative links in the pages, counted per pair of hosts before any shuffle of
 pages. A host's trust seed is the share of its pages that rules allow, its distrust seed the share that rules block.
-Trust is personalised PageRank along links; distrust runs on the reversed links, so hosts that link to blocked ones
-are distrusted. A host is blocked where distrust exceeds trust by more than LIMIT, which is the score of an unlinked
-host with half of its pages blocked; a page that no rule fits takes its host's verdict.
+Trust is personalised PageRank along links; distrust runs on the reversed links, so hosts that link to blocked ones are
+distrusted. Seeds and scores aren't divided by their sums: mass that reaches a host without links ends there, and what is
+left, divided by its sum, is the very PageRank in which such mass goes back to the seeds; undivided scores compare hosts
+alike in graphs of any size. Rounds go on until no score moves by more than TOLERANCE in EVERY of them. A host is blocked
+where distrust exceeds trust by more than LIMIT, which is the score of an unlinked host with half of its pages blocked;
+a page that no rule fits takes its host's verdict.
 
 Null urls and urls without `://` have an empty host and path and are allowed. Null html has no links. Repeated rows
 count each. Extra columns are ignored.
@@ -19,7 +22,7 @@ from prosespark.llm.common import materialize
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS = 0.85, 12
+DAMPING, TOLERANCE, EVERY = 0.85, 1e-6, 5
 LIMIT = (1 - DAMPING) * 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,17 +66,20 @@ def propagate(seeds: DataFrame, edges: DataFrame, seed: str, src: str, dst: str)
     hosts = base.select("host").unionByName(step.select(F.col("t").alias("host"))).unionByName(step.select(F.col("s").alias("host"))).distinct()
     base = materialize(hosts.join(base, "host", "left").select("host", F.coalesce("base", F.lit(0.0)).alias("base")), "host-seeds")
     score = base.select("host", F.col("base").alias("score"))
-    for k in range(ROUNDS):
-        got = step.join(score, step["s"] == score["host"]).groupBy("t").agg(F.sum(F.col("w") * F.col("score")).alias("got"))
-        score = base.join(got, base["host"] == got["t"], "left").select("host", (F.col("base") + F.lit(DAMPING) * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if k % 4 == 3:
-            score = materialize(score, "host-scores")
-    return score
+    while True:
+        before = score
+        for _ in range(EVERY):
+            got = step.join(score, step["s"] == score["host"]).groupBy("t").agg(F.sum(F.col("w") * F.col("score")).alias("got"))
+            score = base.join(got, base["host"] == got["t"], "left").select("host", (F.col("base") + F.lit(DAMPING) * F.coalesce("got", F.lit(0.0))).alias("score"))
+        score = materialize(score, "host-scores")
+        moved = score.join(before.select(F.col("host").alias("h"), F.col("score").alias("was")), F.col("host") == F.col("h")).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        if (moved or 0.0) <= TOLERANCE:
+            return score
 
 
 def judged(pages: DataFrame) -> DataFrame:
     """Every row of pages with host, path, rule, verdict, and its host's trust and distrust."""
-    thin = with_host(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"))
+    thin = with_host(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
     rule, by_rule = rule_of(F.col("host"), F.col("path"))
     rows = thin.select("page_id", "host", "path", rule.alias("rule"), by_rule.alias("by_rule"))
     seeds = rows.groupBy("host").agg(F.avg((F.coalesce("by_rule", F.lit("")) == "allow").cast("double")).alias("trusted"), F.avg((F.coalesce("by_rule", F.lit("")) == "block").cast("double")).alias("blocked"))
