@@ -610,26 +610,40 @@ def test_reading_a_page_is_linear():
 
 def test_op10(spark):
     rows = [(i, u[0], '<a href="http://b.net/z">x</a>' if i == 5 else None, "x") for i, u in URLS.items()] + [(10, "http://b.net/p", "", "x")] * 3
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, __copies int, __id int, __digest string, row string, key int, k int, id string, th string")
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.op10(df).collect()}
     assert {i: got[i] for i in URLS if i != 5} == {i: u[1:] for i, u in URLS.items() if i != 5}
     assert got[5][3] == "block"  # all it links to is blocked
     assert url_filter.op10(df.limit(0)).count() == 0
 
 
-def test_propagation_matches_power_iteration(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1)]
+def test_propagation_solves_the_system(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("d", "e", 1)]
     seeds = {"a": 0.5, "d": 1.0, "b": 0.0}
     got = {r.host: r.score for r in url_filter.propagate(spark.createDataFrame(list(seeds.items()), "host string, trusted double"), spark.createDataFrame(edges, "src string, dst string, n bigint"), "trusted", "src", "dst").collect()}
     hosts = sorted({h for e in edges for h in e[:2]})
-    base = {h: 0.15 * seeds.get(h, 0.0) for h in hosts}
-    score = dict(base)
-    for _ in range(url_filter.ROUNDS):
-        new = dict(base)
-        for s, t, n in edges:
-            new[t] += 0.85 * score[s] * n / sum(m for x, _, m in edges if x == s)
-        score = new
-    assert got.keys() == score.keys() and all(abs(got[h] - score[h]) < 1e-12 for h in hosts)
+    passed = np.zeros((5, 5))
+    for s, t, n in edges:
+        passed[hosts.index(t), hosts.index(s)] = n / sum(m for x, _, m in edges if x == s)
+    base = np.array([seeds.get(h, 0.0) for h in hosts])
+    exact = np.linalg.solve(np.eye(5) - 0.85 * passed, 0.15 * base)
+    assert got.keys() == set(hosts) and all(abs(got[h] - x) < 1e-5 for h, x in zip(hosts, exact, strict=True))
+    # divided by the sum they are the PageRank that gives what ends at hosts without links back to the seeds
+    whole = 0.85 * (passed + np.outer(base / base.sum(), passed.sum(axis=0) == 0)) + 0.15 * np.outer(base / base.sum(), np.ones(5))
+    rank = exact / exact.sum()
+    assert np.allclose(whole @ rank, rank)
+
+
+def test_op10_links_between_hosts_decide(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TOLERANCE", 1e-4)
+    link = '<a href="http://{}/x">y</a>'.format
+    rows = [(1, "http://bad.net/a", ""), (2, "http://farm.com/1", link("bad.net")), (3, "http://far.com/1", link("farm.com")), (4, "http://ok.com/1", link("far.com") + link("good.org") * 9)]
+    rows += [(5, "http://good.org/fr/", link("praised.com")), (6, "http://praised.com/", link("bad.net") + link("good.org")), (7, "http://alone.com/", link("alone.com"))]
+    got = {r.page_id: r.verdict for r in url_filter.op10(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+    ring = [(i * 100 + k, f"http://r{i}.com/{'de/' if k < 8 else ''}{k}", link(f"r{(i + 1) % 4}.com")) for i in range(4) for k in range(100)]
+    monkeypatch.setattr(url_filter, "RULES", (("com", "/de/", "block"),))
+    assert {r.verdict for r in url_filter.op10(spark.createDataFrame(ring, "page_id bigint, url string, html string")).collect()} == {"block"}
 
 
 def test_pipeline(spark):
