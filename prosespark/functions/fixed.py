@@ -209,3 +209,8 @@ ACTION_WEIGHT = {"discard": 1.0, "edit": 0.5, "apply": -1.0}
 GENRES = ("personal", "spec", "prd", "marketing", "technical", "general")
 USER_ACTIONS = ("apply", "edit", "discard")
 REASONS = ("false_positive", "keep_voice", "genre_wrong", "other")
+
+#: Kinds, ways of preservation and schema version of ledgers.
+LEDGER_KINDS = ("literal", "number_or_quantity", "normative_statement", "condition", "exception", "causal_claim", "attribution", "defined_term", "cross_reference", "unsupported_intent", "missing_support", "intentional_repetition", "protected_span")
+LEDGER_PRESERVATIONS = ("byte_exact", "lexically_exact", "semantic_exact", "relationship_exact", "surface_only")
+LEDGER_SCHEMA_VERSION = 1

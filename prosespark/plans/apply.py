@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from prosespark.functions import text as T
 from prosespark.operators import edits as E
 from prosespark.operators import verify as V
+from prosespark.sources.io import settled
 
 
-def selective(cases: DataFrame, entries: DataFrame, spans: DataFrame, ranges: DataFrame, verdict: str | None = None, rounds: int = 4) -> DataFrame:
+def selective(cases: DataFrame, entries: DataFrame, spans: DataFrame, ranges: DataFrame, verdict: str | None = None) -> DataFrame:
     """doc_id, status (applied, unchanged, blocked), edits, withheld, revision.
 
     A finding without hunks blocks its document. Hunks that share a blocking finding go together. Every round verifies
-    what is left against the original, for all documents at once, and can only take hunks away; a document that still
-    has a blocked hunk after the last round is blocked.
+    what is left against the original, for all documents at once, and can only take hunks away, so rounds go on until no
+    document loses one: as many as the longest script has hunks, and one, at most.
     """
-    state = cases.withColumn("edits", E.ordered(F.col("edits")))
-    reliable = state.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    for _ in range(rounds):
+    state = settled(cases.withColumn("edits", E.ordered(F.col("edits"))), "apply")
+    while True:
         l2 = V.layer2(state, entries).where("disposition in ('reject', 'ask')")
-        drop = V.withhold(state, l2).where("not applied").groupBy("doc_id").agg(F.collect_set("hunk").alias("__drop"))
+        drop = settled(V.withhold(state, l2).where("not applied").groupBy("doc_id").agg(F.collect_set("hunk").alias("__drop")), "withheld")
         if drop.isEmpty():
             break
         kept = F.transform(F.filter(F.transform("edits", lambda e, i: F.struct(e.alias("e"), i.cast("bigint").alias("i"))), lambda x: ~F.coalesce(F.array_contains("__drop", x["i"]), F.lit(False))), lambda x: x["e"])
-        state = T.once(state.join(drop, "doc_id", "left"), edits=kept).drop("__drop").select(*cases.columns)
-        state = state.checkpoint() if reliable else state
+        state = settled(T.once(state.join(drop, "doc_id", "left"), edits=kept).drop("__drop").select(*cases.columns), "apply")
     held = V.verify(state, entries, spans, ranges, verdict, two_layer=verdict is None)
     out = state.join(held.select("doc_id", "decision"), "doc_id").join(cases.select("doc_id", F.size("edits").alias("__before")), "doc_id")
     out = T.once(out, revision=E.apply(F.col("content"), F.col("edits")))

@@ -241,7 +241,7 @@ cells AS (SELECT CASE WHEN grouping(tell) = 0 THEN 'tell' WHEN grouping(genre) =
   count(*) AS n, count(*) FILTER (flagged IS NULL) AS abstained, count(*) FILTER (flagged AND positive) AS tp, count(*) FILTER (flagged AND NOT positive) AS fp, count(*) FILTER (NOT flagged AND positive) AS fn
   FROM flags GROUP BY GROUPING SETS ((), (tell), (genre), (length)))
 SELECT axis, stratum, n, abstained, round(abstained::DOUBLE / n, 4) AS abstention_rate, round(tp::DOUBLE / nullif(tp + fp, 0), 4) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 4) AS recall FROM cells"""
-JUDGED = """WITH base AS (SELECT DISTINCT user_id % 50 AS case_id FROM events), grid AS (SELECT case_id, t.trial, s.side, d.dim FROM base, range(3) t(trial), (VALUES ('candidate'), ('baseline')) s(side), range(9) d(dim)),
+JUDGED = """WITH base AS (SELECT DISTINCT user_id AS case_id FROM events), grid AS (SELECT case_id, t.trial, s.side, d.dim FROM base, range(3) t(trial), (VALUES ('candidate'), ('baseline')) s(side), range(9) d(dim)),
 trials AS (SELECT *, (case_id * 7 + trial * 3 + dim * 5) % 2 + CASE WHEN side = 'candidate' AND case_id % 3 > 1 THEN 1 ELSE 0 END AS score FROM grid),
 med AS (SELECT case_id, dim, median(score) FILTER (side = 'candidate') AS c, median(score) FILTER (side = 'baseline') AS b FROM trials GROUP BY 1, 2),
 v AS (SELECT case_id, sum(c) >= sum(b) AND bool_and(c >= b - 1) AND bool_or(c > b) AS beat FROM med GROUP BY 1),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,3 +98,22 @@ def publish(revisions: DataFrame, current: DataFrame, path: str) -> DataFrame:
     rows = revisions.join(now, "doc_id", "left")
     rows.where(F.col("source_sha256") == F.col("__now")).drop("__now").write.mode("errorifexists").parquet(path)
     return rows.where(~F.col("source_sha256").eqNullSafe(F.col("__now"))).drop("__now")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the folder that driver and executors share, and read back, which cuts its lineage.
+
+    That is spark.checkpoint.dir, or the session's checkpoint folder; only a local session may go without.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base and sc._jsc.sc().getCheckpointDir().isDefined():
+        base = sc._jsc.sc().getCheckpointDir().get()
+    if not base and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="prosespark-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -113,10 +113,63 @@ def test_hunks_and_withheld_components(spark):
     cases = spark.createDataFrame(rows, SCHEMA)
     docs = spark.createDataFrame([(1, TEXT)], "doc_id bigint, text string")
     l2 = verify.layer2(cases, ledger.entries(ledger.regions(docs)))
-    assert [r.decision for r in verify.hunk_decisions(cases, l2).orderBy("hunk").collect()] == ["REJECT", "ACCEPT"]
+    assert [r.decision for r in verify.hunk_decisions(cases, l2.select("doc_id", "disposition", "hunks")).orderBy("hunk").collect()] == ["REJECT", "ACCEPT"]
     assert [(r.hunk, r.applied) for r in verify.withhold(cases, l2).orderBy("hunk").collect()] == [(0, False), (1, True)]
 
 
+FENCED = "Plain words.\n\n```\ncode\n```\n\nMore `code` and [a](b) words."
+
+
+def test_damage_to_markdown_is_rejected(spark):
+    def edit(old, new):
+        a = FENCED.index(old)
+        return a, a + len(old), new
+
+    scripts = [[edit("\n```\n\nMore", "\n\nMore")], [edit("`code` and", "`code and")], [edit("](b)", "](b")], [edit("Plain", "Simple")], []]
+    cases = spark.createDataFrame([case(i, FENCED, *e) for i, e in enumerate(scripts)], SCHEMA).withColumn("said", F.lit("clean"))
+    docs = spark.createDataFrame([(i, FENCED) for i in range(5)], "doc_id bigint, text string")
+    whole = docs.select("doc_id", F.lit(0).cast("bigint").alias("start_byte"), F.octet_length("text").cast("bigint").alias("end_byte"))
+    got = {r.doc_id: r for r in verify.verify(cases, ledger.entries(ledger.regions(docs)), spans.url_spans(docs), whole, "said").collect()}
+    assert [got[i].decision for i in range(5)] == ["REJECT"] * 3 + ["ACCEPT"] * 2 and [got[i].n_structure > 0 for i in range(5)] == [True] * 3 + [False] * 2
+
+
+def test_a_false_ledger_is_rejected_before_anything_else(verdicts):
+    _, cases, docs, whole = verdicts
+    entries, urls = ledger.entries(ledger.regions(docs)), spans.url_spans(docs)
+    for false, spans_ in ((entries.withColumn("text_hash", F.lit("0" * 64)), urls), (entries.withColumn("confidence", F.lit(1001)), urls), (entries, urls.withColumn("sha256", F.lit("0")))):
+        got = verify.verify(cases, false, spans_, whole, "said").collect()
+        assert {(r.decision, r.n_ledger, r.semantic_status, r.n_reject, r.shippable) for r in got} == {("REJECT", 1, "not_run", 0, False)}
+
+
+def test_findings_without_hunks_leave_none_revertable(verdicts):
+    _, cases, docs, whole = verdicts
+    entries, urls = ledger.entries(ledger.regions(docs)), spans.url_spans(docs)
+    got = {r.doc_id: r for r in verify.hunk_decisions(cases, verify.found(cases, entries, urls, whole, "said")).collect()}
+    assert (got[1].decision, got[1].revertable) == ("REJECT", True) and (got[5].decision, got[5].revertable) == ("ACCEPT", False) and got[6].revertable
+    place = entries.where("doc_id = 6").orderBy("start_byte").first()
+    other = entries.where("doc_id = 6").where(F.col("start_byte") != place.start_byte).first()
+    def said(ids, *ranges):
+        return json.dumps({"verdict": "real", "concerns": [{"entry_ids": ids, "original_ranges": [{"start_byte": a, "end_byte": b} for a, b in ranges]}]})
+    outputs = [said([place.entry_id], (place.start_byte, place.end_byte)), said([place.entry_id], (other.start_byte, other.end_byte)), said([]), '{"verdict":"real","concerns":"x"}', '{"verdict":"real","concerns":["x"]}']
+    want = [("REJECT", "real", False), ("SURFACE", "ambiguous", True), ("REJECT", "real", False), ("SURFACE", "ambiguous", True), ("SURFACE", "ambiguous", True)]
+    for text, (decision, status, revertable) in list(zip(outputs, want, strict=True))[:3]:
+        one = cases.where("doc_id = 6").withColumn("o", F.lit(text))
+        r = verify.verify(one, entries, urls, whole, output="o").first()
+        h = verify.hunk_decisions(one, verify.found(one, entries, urls, whole, output="o")).first()
+        assert (r.decision, r.semantic_status, h.revertable) == (decision, status, revertable), text
+
+
+def test_canonical_ledger_is_sorted_json(spark):
+    docs = spark.createDataFrame([(1, TEXT), (2, "Nothing here")], "doc_id bigint, text string")
+    got = {r.doc_id: json.loads(r.ledger_json) for r in ledger.canonical(ledger.entries(ledger.regions(docs)), docs, spans=spans.url_spans(docs)).collect()}
+    raw = ledger.canonical(ledger.entries(ledger.regions(docs)), docs, spans=spans.url_spans(docs)).where("doc_id = 1").first()
+    assert raw.ledger_json == json.dumps(got[1], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert got[2]["entries"] == got[2]["protected_spans"] == [] and got[2]["schema_version"] == 1
+    first = got[1]["entries"][0]
+    assert first["source"]["start_byte"] == 0 and {e["id"]: e["extracted"] for e in got[1]["entries"]}["e0_numbers"] == {"200|ms": 1}
+    assert [p["id"] for p in got[1]["protected_spans"]] == ["ps0"]
+
+
 def test_semantic_verdicts(spark):
     given_ = ['{"verdict":"clean"}', '{"verdict":"real","concerns":[{"original_ranges":[{"start_byte":0,"end_byte":4}]}]}', '{"verdict":"real","concerns":[{"original_ranges":[{"start_byte":1,"end_byte":4}]}]}', "nonsense", None]
     df = spark.createDataFrame([(x,) for x in given_], "o string")
