@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from prosespark.functions import fixed
-from prosespark.plans.queries import FEEDBACK_GENRES, FEEDBACK_METRICS, SEASONED
+from prosespark.plans.queries import DECLARED, FEEDBACK_GENRES, FEEDBACK_METRICS, PATHS, SEASONED
 
 WORD = r"[\p{L}\p{Nl}\p{No}]+(?:['’][\p{L}\p{Nl}\p{No}]+)*".replace("'", "''")
 _ABBR = "|".join(re.escape(x) for x in sorted(fixed.ABBREVIATIONS, key=lambda x: (-len(x), x)))
@@ -309,8 +309,68 @@ SELECT doc_id, min(start_byte)::BIGINT AS start_byte, max(end_byte)::BIGINT AS e
 RANGES = RANGES.replace("islands AS (SELECT *, sum(new)", "merged AS (SELECT *, sum(new)").replace("FROM islands GROUP BY doc_id, i", "FROM merged GROUP BY doc_id, i").replace("gaps AS (SELECT *, CASE WHEN start_byte", "apart AS (SELECT *, CASE WHEN start_byte").replace("AS i FROM gaps)", "AS i FROM apart)")
 
 
+#: An edit strictly around an offset maps it nowhere; edits that end before it shift it.
+STATUSES = f"""{CASES}, {CHECKS}, r AS (SELECT g.doc_id, g.region_idx, g.start_byte AS x, g.start_byte + octet_length(encode(g.seg)) AS y FROM regions g),
+maps AS (SELECT r.doc_id, r.region_idx, c.kind, x, y, sum(CASE WHEN b <= x THEN len - (b - a) ELSE 0 END) AS dx, sum(CASE WHEN b <= y THEN len - (b - a) ELSE 0 END) AS dy, bool_or(a < x AND b > x) AS in_x, bool_or(a < y AND b > y) AS in_y,
+  bool_or(b > a AND a <= x AND b >= y) AS gone, bool_or(b > x AND a < y) AS hit FROM r JOIN cases c USING (doc_id) JOIN edit_rows e USING (doc_id) GROUP BY ALL)
+SELECT doc_id, region_idx, CASE WHEN kind > 0 AND NOT in_x THEN x + dx END::BIGINT AS rev_start, CASE WHEN kind > 0 AND NOT in_y THEN y + dy END::BIGINT AS rev_end,
+  CASE WHEN kind = 0 THEN 'invalid_script' WHEN gone THEN 'deleted' WHEN in_x OR in_y THEN 'ambiguous' WHEN hit THEN 'modified' ELSE 'unchanged' END AS status FROM maps"""
+ADVISED = f"""{BASE}, {STRUCTURE}, {RUNS}, {OPENERS}, located AS ({LOCATED}), advice AS ({strip_pairs()}), told AS (SELECT doc_id, coalesce(g, '{fixed.FALLBACK_GENRE}') AS genre FROM classified)"""
+FLAGGED = PUNCTUATION.removeprefix(BASE).removeprefix(", ").replace("h AS (", "pcounts AS (").replace("FROM h JOIN", "FROM pcounts JOIN").replace("SELECT h.*", "SELECT pcounts.*").replace("r AS (SELECT", "prates AS (SELECT").replace("FROM r", "FROM prates")
+_PC, _PF = FLAGGED.rsplit("\nSELECT ", 1)
+STATUS = f"""{ADVISED}, {_PC}, flags AS (SELECT {_PF}), live AS (SELECT DISTINCT doc_id, metric FROM located UNION SELECT doc_id, 'punctuation_rates' FROM flags WHERE soft_flag)
+SELECT s.doc_id, CASE WHEN count(l.metric) > 0 THEN 'flagged' ELSE 'clean' END AS audit_status, coalesce(bool_or(a.recommendation = 'strip'), false) AS has_strip
+FROM s JOIN told t USING (doc_id) LEFT JOIN live l USING (doc_id) LEFT JOIN advice a ON a.metric = l.metric AND a.genre = t.genre GROUP BY 1"""
+LEARNED = f"""{ADVISED}, keeps AS (SELECT genre, metric_class FROM ({OVERLAY})),
+spots AS (SELECT DISTINCT u.doc_id, l.metric, u.line_start, u.line_end FROM located l JOIN units u ON u.doc_id = l.doc_id AND u.line_end >= l.line_start AND u.line_start <= l.line_end),
+judged AS (SELECT t.genre, p.metric, CASE WHEN a.recommendation = 'strip' AND EXISTS (SELECT 1 FROM keeps k WHERE k.genre = t.genre AND k.metric_class = a.cls) THEN 'keep' ELSE a.recommendation END AS recommendation
+  FROM spots p JOIN told t USING (doc_id) JOIN advice a ON a.metric = p.metric AND a.genre = t.genre)
+SELECT genre, metric, recommendation, count(*) AS n FROM judged GROUP BY ALL"""
+_REV = SPLICED.rsplit("\nSELECT doc_id, CASE WHEN kind = 0", 1)[0]
+CLAIM_GATE = f"""{_REV}, after_ AS (SELECT doc_id, rev AS text FROM r WHERE rev IS NOT NULL), new_ AS ({claims_of("after_")}), old_ AS ({claims_of("s")})
+SELECT DISTINCT doc_id, category, atom FROM new_ WHERE NOT EXISTS (SELECT 1 FROM old_ WHERE old_.doc_id = new_.doc_id AND old_.category = new_.category AND old_.atom = new_.atom)"""
+_FALSE = ENTRIES.split(CHECKS, 1)[1].strip()
+LEDGER_PROBLEMS = f"""{SEASON}, {CHECKS}, e AS ({_FALSE}), k AS (SELECT *, (doc_id + start_byte) % 9 AS k FROM e), f AS (SELECT doc_id, k, CASE WHEN k = 6 THEN 'e' ELSE entry_id END AS entry_id FROM k),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, entry_id) AS same FROM f)
+SELECT doc_id, entry_id, CASE k WHEN 1 THEN 'text_hash_mismatch' WHEN 2 THEN 'bad_confidence' WHEN 3 THEN 'bad_kind' WHEN 4 THEN 'bad_preservation' ELSE 'out_of_bounds' END AS problem FROM g WHERE k BETWEEN 1 AND 5
+UNION ALL SELECT doc_id, entry_id, 'duplicate_id' FROM g WHERE same > 1"""
+
+
+def _extracted(check: str, kind: str, flag: str) -> str:
+    parts = {"number_or_quantity": [("", "quantity")], "normative_statement": [("modals:", "modality"), ("neg:", "negation")], "condition": [("", "condition")], "cross_reference": [("cites:", "citation"), ("urls:", "url")]}
+    if kind == "defined_term":
+        return f"SELECT doc_id, 'e' || region_idx || '_{check}' AS entry_id, trim(regexp_replace(seg, '\\s+', ' ', 'g')) AS atom FROM regions WHERE {flag}"
+    # the extractors read s(doc_id, text): here a row a region, known by its place
+    return " UNION ALL ".join(f"SELECT g.doc_id, 'e' || g.region_idx || '_{check}' AS entry_id, '{tag}' || x.atom AS atom FROM ({ATOMS[name]}) x JOIN regions g ON x.doc_id = g.doc_id * 1000000 + g.region_idx WHERE g.{flag}".replace("FROM s)", "FROM segs_of)") for tag, name in parts[kind])
+
+
+EXTRACTED = f"""{SEASON}, {CHECKS}, segs_of AS (SELECT doc_id * 1000000 + region_idx AS doc_id, seg AS text FROM regions), every AS ({" UNION ALL ".join(_extracted(c, k, _FLAG[c]) for c, (k, _, _) in fixed.CHECK_KIND.items())})
+SELECT doc_id, entry_id, atom, count(*) AS n FROM every GROUP BY ALL"""
+PROPER = f"""SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g'), {q(fixed.PROPER_NOUN)})) AS atom FROM s"""
+_TEXT_OR_NULL = lambda names: "[" + ", ".join("NULL" if x is None else q(x) for x in names) + "]"
+_PATH_CASES = " ".join(f"WHEN list_has_any(tokens, [{', '.join(map(q, names))}]) THEN {q(g)}" for g, names in fixed.PATH_TOKENS)
+_ALIASES = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fixed.GENRE_ALIASES.items())
+TOLD = f"""{SEASON}, {STRUCTURE}, t AS (SELECT doc_id, g, lower(trim({_TEXT_OR_NULL(DECLARED)}[doc_id % {len(DECLARED)} + 1])) AS said, string_split_regex(lower({_TEXT_OR_NULL(PATHS)}[(doc_id // 7) % {len(PATHS)} + 1]), '[/\\\\._\\-\\s]+') AS tokens FROM classified),
+u AS (SELECT doc_id, CASE said {_ALIASES} END AS a, CASE {_PATH_CASES} END AS b, g FROM t)
+SELECT doc_id, coalesce(a, b, g, '{fixed.FALLBACK_GENRE}') AS genre, CASE WHEN a IS NOT NULL THEN 'high' WHEN coalesce(b, g) IS NOT NULL THEN 'medium' ELSE 'low' END AS genre_confidence,
+  CASE WHEN a IS NOT NULL THEN 'declared' WHEN b IS NOT NULL THEN 'path' WHEN g IS NOT NULL THEN 'structure' ELSE 'fallback' END AS genre_reason FROM u"""
+PARSED = """SELECT doc_id, 0::BIGINT AS idx, doc_id AS start_byte, doc_id + 3 AS end_byte, '' AS replacement, CASE doc_id % 3 WHEN 1 THEN sha256('abc') WHEN 2 THEN 'ab' END AS preimage_sha256 FROM documents
+UNION ALL SELECT doc_id, 1, 0, 1, CASE WHEN doc_id % 4 <> 0 THEN doc_id::VARCHAR END, NULL FROM documents"""
+EQUAL = """SELECT doc_id, doc_id % 3 = 2 AS same, doc_id % 3 <> 1 AS alike FROM documents"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "e1_parsed_scripts": PARSED,
+        "e7_region_status": STATUSES,
+        "e9_equal_material": EQUAL,
+        "f6_audit_status": STATUS,
+        "c9_learned_findings": LEARNED,
+        "l4_extracted_atoms": EXTRACTED,
+        "l6_ledger_problems": LEDGER_PROBLEMS,
+        "l10_claim_gate": CLAIM_GATE,
+        "g1_told_genres": TOLD,
+        "a_proper_noun_atoms": f"{SEASON} SELECT doc_id, atom, count(*) AS n FROM ({PROPER}) GROUP BY ALL",
         "x1_text_units": f"{BASE} SELECT doc_id, unit_idx, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, length(text)::BIGINT AS n_chars, sha256(text) AS sha FROM units",
         "x7_sentences": f"{BASE} SELECT doc_id, sent_idx, unit_idx, {words('sentence')}::BIGINT AS n_words, sha256(sentence) AS sha FROM sents",
         "x9_line_starts": LINE_STARTS,
@@ -337,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "l7_locality": LOCALITY,
         "c5_thresholds": f"{POINTS} SELECT * FROM fit",
         "c6_strata": STRATA,
-        "c2_split_disjointness": "SELECT DISTINCT source AS source_family FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 1",
+        "c2_split_disjointness": "SELECT DISTINCT concat_ws('/', source, lang) AS source_family FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT DISTINCT concat_ws('/', source, lang) FROM documents WHERE doc_id % 5 <> 0",
         "c8_overlay": OVERLAY,
         "c10_voice_features": VOICES,
         "h4_judged": JUDGED,

@@ -118,8 +118,22 @@ def ledger_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Entries falsified by their document's id and region: every way of being wrong comes up."""
     docs = seasoned(spark, d)
-    return ledger.validate(ledger.entries(ledger.regions(docs)), docs)
+    e = ledger.entries(ledger.regions(docs))
+    k = F.pmod(F.col("doc_id") + F.col("start_byte"), F.lit(9))
+    false = e.withColumns({
+        "text_hash": F.when(k == 1, F.lit("0")).otherwise(F.col("text_hash")), "confidence": F.when(k == 2, F.lit(1001)).otherwise(F.col("confidence")),
+        "kind": F.when(k == 3, F.lit("poem")).otherwise(F.col("kind")), "preservation": F.when(k == 4, F.lit("none")).otherwise(F.col("preservation")), "end_byte": F.when(k == 5, F.lit(1 << 40)).otherwise(F.col("end_byte")),
+        "entry_id": F.when(k == 6, F.lit("e")).otherwise(F.col("entry_id")),
+    })
+    return ledger.validate(false, docs)
+
+
+def extracted_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """The atoms of each entry with their counts."""
+    e = ledger.entries(ledger.regions(seasoned(spark, d)))
+    return e.select("doc_id", "entry_id", F.explode("extracted").alias("atom")).groupBy("doc_id", "entry_id", "atom").agg(F.count("*").alias("n"))
 
 
 def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -252,10 +266,42 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def disjointness(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "documents").select(F.col("source").alias("source_family"), F.when(F.col("doc_id") % 2 == 0, F.lit("calibration")).otherwise(F.lit("held_out")).alias("split"))
+    items = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("source_family"), F.when(F.col("doc_id") % 5 == 0, F.lit("calibration")).otherwise(F.lit("held_out")).alias("split"))
     return corpus.shared_families(items)
 
 
+def claim_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Claims that the cases' revisions add; scripts with problems have no revision."""
+    return verify.new_claims(cases(spark, d))
+
+
+def told_genres(spark: SparkSession, d: str) -> DataFrame:
+    """Genres of documents that may declare one, or lie under a telling path."""
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), (F.pmod(k, F.lit(len(names))) + 1).cast("int"))
+    docs = seasoned(spark, d).withColumn("said", pick(DECLARED, F.col("doc_id"))).withColumn("path", pick(PATHS, F.floor(F.col("doc_id") / 7)))
+    return genre.classify(docs, "said", "path").select("doc_id", "genre", "genre_confidence", "genre_reason")
+
+
+DECLARED = (None, " PRD ", "poem", "Spec", "", "blog", None, "Marketing", None, None, None)
+PATHS = (None, "docs/prd/one.md", "a/specification.md", "my-spec_v2.txt", "home\\\\journal notes.md", "README.md", "x.y", "prd-spec.md")
+
+
+def parsed_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts from wire JSON: with and without a replacement, a preimage or its hash, and base64 that doesn't decode."""
+    k = F.col("doc_id")
+    text = F.format_string('[{"start_byte":%d,"end_byte":%d%s},{"start_byte":0,"end_byte":1,"replacement_b64":"%s"}]', k, k + 3, F.element_at(F.array(F.lit(""), F.lit(',"preimage_b64":"YWJj"'), F.lit(',"preimage_sha256":" AB "')), (k % 3 + 1).cast("int")), F.when(k % 4 == 0, F.lit("@@")).otherwise(F.base64(k.cast("string").cast("binary"))))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(edits.parse(text)).alias("idx", "e"))
+    return rows.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "e.start_byte", "e.end_byte", F.col("e.replacement").cast("string").alias("replacement"), "e.preimage_sha256")
+
+
+def equal_material(spark: SparkSession, d: str) -> DataFrame:
+    """Texts against themselves with line feeds at the end taken off or added."""
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.concat("a", F.lit("\n\n"))).when(F.col("doc_id") % 3 == 1, F.concat("a", F.lit(" "))).otherwise(F.col("a"))
+    a, b = F.col("a").cast("binary"), other.cast("binary")
+    return t.select("doc_id", edits.material_equal(a, b).alias("same"), edits.material_equal(a, b, "normalize").alias("alike"))
+
+
 def voices(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations")
     return corpus.voice_features(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
@@ -342,20 +388,25 @@ def queries() -> dict[str, Query]:
         "m13_adjective_requirements": adjectives,
         "m14_metric_totals": metric_totals,
         "m17_recommendations": lambda spark, d: recommend.table(spark),
+        "g1_told_genres": told_genres,
         "g4_genres": genres,
         **{f"a_{kind}_atoms": atoms(kind) for kind in A.ALL},
         "a15_new_claims": new_claims,
         "l2_invariant_regions": regions,
         "l3_ledger_entries": entries,
+        "l4_extracted_atoms": extracted_atoms,
         "l5_ledger_hashes": ledger_hashes,
         "l6_ledger_problems": ledger_problems,
         "i2_url_spans": url_spans,
         "i6_authorized_ranges": ranges,
         "f1_findings": finding_rows,
         "f6_audit_status": audit_status,
+        "e1_parsed_scripts": parsed_scripts,
         "e3_spliced": spliced,
         "e7_region_status": statuses,
+        "e9_equal_material": equal_material,
         "l7_locality": locality,
+        "l10_claim_gate": claim_gate,
         "l15_verified": _verified,
         "l17_hunks": hunks,
         "o1_withheld": withheld,
