@@ -322,6 +322,18 @@ def test_components_of_long_chains_in_any_order(spark):
     assert got == {x: min(names[:901]) if k <= 900 else min(names[901:]) for k, x in enumerate(names)}
 
 
+def test_op5_equals_its_oracle(spark):
+    import duckdb
+
+    from prosespark.llm import queries
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duck.execute(queries.oracle_sql()["op5_near_dedup"]).fetchall()
+    got = queries.queries()["op5_near_dedup"](spark, SF).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({w[2] for w in want}) < len(want)
+
+
 def test_op5_chain_of_copies(spark):
     rnd = random.Random(12)
     words, rows = [f"w{rnd.randrange(10**6)}" for _ in range(60)], []
@@ -638,9 +650,9 @@ def test_op10_links_between_hosts_decide(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "TOLERANCE", 1e-4)
     link = '<a href="http://{}/x">y</a>'.format
     rows = [(1, "http://bad.net/a", ""), (2, "http://farm.com/1", link("bad.net")), (3, "http://far.com/1", link("farm.com")), (4, "http://ok.com/1", link("far.com") + link("good.org") * 9)]
-    rows += [(5, "http://good.org/fr/", link("praised.com")), (6, "http://praised.com/", link("bad.net") + link("good.org")), (7, "http://alone.com/", link("alone.com"))]
+    rows += [(5, "http://good.org/fr/", link("praised.com") + link("ok.com")), (6, "http://praised.com/", link("good.org")), (7, "http://alone.com/", link("alone.com"))]
     got = {r.page_id: r.verdict for r in url_filter.op10(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
     ring = [(i * 100 + k, f"http://r{i}.com/{'de/' if k < 8 else ''}{k}", link(f"r{(i + 1) % 4}.com")) for i in range(4) for k in range(100)]
     monkeypatch.setattr(url_filter, "RULES", (("com", "/de/", "block"),))
     assert {r.verdict for r in url_filter.op10(spark.createDataFrame(ring, "page_id bigint, url string, html string")).collect()} == {"block"}
