@@ -326,6 +326,24 @@ spots AS (SELECT DISTINCT u.doc_id, l.metric, u.line_start, u.line_end FROM loca
 judged AS (SELECT t.genre, p.metric, CASE WHEN a.recommendation = 'strip' AND EXISTS (SELECT 1 FROM keeps k WHERE k.genre = t.genre AND k.metric_class = a.cls) THEN 'keep' ELSE a.recommendation END AS recommendation
   FROM spots p JOIN told t USING (doc_id) JOIN advice a ON a.metric = p.metric AND a.genre = t.genre)
 SELECT genre, metric, recommendation, count(*) AS n FROM judged GROUP BY ALL"""
+_TABLE = lambda t: "CASE metric " + " ".join(f"WHEN {q(k)} THEN {q(v) if isinstance(v, str) else v}" for k, v in t.items()) + " END"
+
+
+def _counts(metric: str, eligible: str, soft: str = "NULL::BOOLEAN") -> str:
+    return f"SELECT doc_id, {q(metric)} AS metric, {eligible} AS eligible, c AS n, {soft} AS soft FROM ({HITS[metric]}) JOIN sizes_of USING (doc_id)"
+
+
+_METRICS = " UNION ALL ".join([
+    *(f"SELECT doc_id, {q(m)} AS metric, n_sents AS eligible, n_sents AS n, NULL::BOOLEAN AS soft FROM sizes_of" for m in ("sentence_length_distribution", "sentence_length_dispersion")),
+    "SELECT doc_id, 'punctuation_rates', n_words, em_dash + semicolon, soft_flag FROM flags",
+    "SELECT doc_id, 'bold_label_density', n_units, 0, NULL FROM sizes_of",
+    *(_counts(m, "n_words" if m in RATES else "n_units", FLAGS.get(m, "NULL::BOOLEAN")) for m in HITS if m != "adjective_requirements"),
+    f"SELECT a.* FROM ({_counts('adjective_requirements', 'n_units', 'c >= 1')}) a JOIN told USING (doc_id) WHERE genre = 'prd'",
+    "SELECT z.doc_id, 'paragraph_sentence_count_runs', any_value(n_units), count(r.doc_id), count(r.doc_id) > 0 FROM sizes_of z LEFT JOIN runs r USING (doc_id) GROUP BY 1",
+    "SELECT z.doc_id, 'repeated_openers', any_value(n_sents), count(c.doc_id), count(c.doc_id) > 0 FROM sizes_of z LEFT JOIN clusters c USING (doc_id) GROUP BY 1",
+])
+TOTALS = f"""{ADVISED}, {_PC}, flags AS (SELECT {_PF}), sizes_of AS (SELECT wc.*, (SELECT count(*) FROM sents x WHERE x.doc_id = wc.doc_id) AS n_sents FROM wc), every AS ({_METRICS})
+SELECT metric, {_TABLE(fixed.METRIC_CLASS)} AS metric_class, {_TABLE(fixed.METRIC_CONFIDENCE)} AS confidence, {_TABLE(fixed.METRIC_VERSION)} AS metric_version, count(*) AS n_docs, sum(n)::BIGINT AS total, sum(eligible)::BIGINT AS eligible, count(*) FILTER (soft) AS n_soft FROM every GROUP BY 1"""
 _REV = SPLICED.rsplit("\nSELECT doc_id, CASE WHEN kind = 0", 1)[0]
 CLAIM_GATE = f"""{_REV}, after_ AS (SELECT doc_id, rev AS text FROM r WHERE rev IS NOT NULL), new_ AS ({claims_of("after_")}), old_ AS ({claims_of("s")})
 SELECT DISTINCT doc_id, category, atom FROM new_ WHERE NOT EXISTS (SELECT 1 FROM old_ WHERE old_.doc_id = new_.doc_id AND old_.category = new_.category AND old_.atom = new_.atom)"""
@@ -365,6 +383,7 @@ def oracle_sql() -> dict[str, str]:
         "e7_region_status": STATUSES,
         "e9_equal_material": EQUAL,
         "f6_audit_status": STATUS,
+        "m14_metric_totals": TOTALS,
         "c9_learned_findings": LEARNED,
         "l4_extracted_atoms": EXTRACTED,
         "l6_ledger_problems": LEDGER_PROBLEMS,
