@@ -19,8 +19,8 @@ def with_sentences(docs: DataFrame) -> DataFrame:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """A row a unit."""
-    return with_units(docs).select("doc_id", F.posexplode("units").alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
+    """A row a unit, of documents that have units already or not."""
+    return (docs if "units" in docs.columns else with_units(docs)).select("doc_id", F.posexplode("units").alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
 
 
 def sentences(docs: DataFrame) -> DataFrame:

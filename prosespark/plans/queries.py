@@ -15,7 +15,7 @@ from prosespark.functions import atoms as A
 from prosespark.functions import text as T
 from prosespark.operators import corpus, edits, evaluate, extract, findings, genre, ledger, metrics, recommend, spans, validate, verify
 from prosespark.plans import stages
-from prosespark.sources.io import spread
+from prosespark.sources.io import settled, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.prepared(seasoned(spark, sf_dir))
 
 
+def judged_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared documents with their genre, written once: what reads them several times doesn't prepare them again."""
+    return settled(metrics.prepared(genre.classify(seasoned(spark, d))), "prepared")
+
+
 def text_units(spark: SparkSession, d: str) -> DataFrame:
     u = extract.units(seasoned(spark, d))
     return u.select("doc_id", F.col("unit_idx").cast("bigint").alias("unit_idx"), F.col("line_start").cast("bigint").alias("line_start"), F.col("line_end").cast("bigint").alias("line_end"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("sha"))
@@ -80,7 +85,7 @@ def adjectives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = metrics.envelope(metrics.prepared(genre.classify(seasoned(spark, d))), "genre")
+    rows = metrics.envelope(judged_texts(spark, d), "genre")
     return rows.groupBy("metric", "metric_class", "confidence", "metric_version").agg(F.count("*").alias("n_docs"), F.sum("count").alias("total"), F.sum("eligible_units").alias("eligible"), F.count_if(F.col("soft_flag")).alias("n_soft"))
 
 
@@ -137,9 +142,8 @@ def extracted_atoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    docs = genre.classify(seasoned(spark, d))
-    p = metrics.prepared(docs)
-    places = metrics.locations(p, "genre").join(docs.select("doc_id", "genre"), "doc_id")
+    docs = judged_texts(spark, d)
+    places = metrics.locations(docs, "genre").join(docs.select("doc_id", "genre"), "doc_id")
     return docs, extract.units(docs), extract.line_starts(docs), places
 
 
@@ -347,9 +351,8 @@ def rolled_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_status(spark: SparkSession, d: str) -> DataFrame:
-    docs = genre.classify(seasoned(spark, d))
-    p = metrics.prepared(docs)
-    rows = metrics.envelope(p, "genre").join(docs.select("doc_id", "genre"), "doc_id")
+    docs = judged_texts(spark, d)
+    rows = metrics.envelope(docs, "genre").join(docs.select("doc_id", "genre"), "doc_id")
     located = F.when(F.col("metric").isin("sentence_length_distribution", "sentence_length_dispersion", "punctuation_rates"), F.lit(0)).otherwise(F.col("count"))
     return recommend.status(rows.select("doc_id", "metric", "genre", located.alias("n_locations"), "soft_flag"))
 
