@@ -32,19 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosespark.llm.common import chunks, fold_of, labelled, letter_table, release, slices, text_slices
+from prosespark.llm.common import fold_of, labelled, letter_table, mix64, release, slices, text_slices
 from prosespark.llm.quality import platt, sigmoid
 
-ORDER, SPAN, DECAY, LANDMARKS, LETTERS = 4, 6, 0.75, 400, 40
+ORDER, SPAN, DECAY, LANDMARKS, LETTERS = 4, 6, 0.75, 320, 40
 #: Labelled rows a class that training sees, whole, and characters that they hold together at most.
-ROWS_PER_CLASS, CHARS_IN_ALL, SEED, THRESHOLD = 800, 16_000_000, 31, 0.3
+ROWS_PER_CLASS, CHARS_IN_ALL, SEED, THRESHOLD = 800, 8_000_000, 31, 0.3
 #: Letters of windows of several words: any number, and up to three, of them.
 JOINED, PHRASE = 12, 20
 SIZE = LETTERS + 4  # 0 parts words; then letters, other letters, and the two marks
 HEAD, TAIL = LETTERS + 2, LETTERS + 3
 PATTERNS = [(a, a + b, a + b + c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
-#: Bytes of text scored at a time.
-STEP = 1 << 19
+#: Fits with witnesses chosen anew; bytes of text scored at a time.
+TURNS, STEP = 3, 1 << 19
 SCHEMA = "doc_id bigint, score double, predicted int"
 
 
@@ -67,8 +67,9 @@ class Coder:
         return {flat[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)}
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All letters of coded texts without breaks, and the first letter, length and text of each window."""
+def spans(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All letters of coded texts without breaks, where each word begins in them (and their end), and for each window its
+    first word, the word after its last, and its text."""
     sizes = np.array([x.size for x in texts])
     codes = np.concatenate([np.append(x, np.uint8(0)) for x in texts]) if texts else np.zeros(0, np.uint8)
     of_text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
@@ -78,8 +79,8 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     before = np.cumsum(inside) - inside  # letters before each place
     bound = np.append(before[begins], letters.size)
     text = of_text[begins]
-    start, size, own = [bound[:-1]], [np.diff(bound)], [text]
     at = np.arange(begins.size)
+    first, last = [at], [at + 1]
     for k in range(2, PHRASE + 1):
         at = at[at + k <= begins.size]
         at = at[text[at] == text[at + k - 1]]
@@ -88,11 +89,17 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         at, n = at[fits], n[fits]
         if not at.size:
             break
-        wanted = (n <= JOINED) | (k <= 3) | (n == k)
-        start.append(bound[at[wanted]])
-        size.append(n[wanted])
-        own.append(text[at[wanted]])
-    return letters, np.concatenate(start), np.concatenate(size), np.concatenate(own)
+        wanted = at[(n <= JOINED) | (k <= 3) | (n == k)]
+        first.append(wanted)
+        last.append(wanted + k)
+    first = np.concatenate(first)
+    return letters, bound, first, np.concatenate(last), text[first] if first.size else np.zeros(0, np.int32)
+
+
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All letters of coded texts without breaks, and the first letter, length and text of each window, words first."""
+    letters, bound, first, last, own = spans(texts)
+    return letters, bound[first], bound[last] - bound[first], own
 
 
 def _entries(buffer: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -149,38 +156,56 @@ class Machine:
             self.table[self.keys] = self.weights
             self._ready = True
 
-    def _sums(self, buffer: np.ndarray, owner: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    def margins(self, words: list[bytes]) -> np.ndarray:
+        """The margin of each window."""
         self._get_ready()
+        buffer, owner, scale = _marked(words)
         at = np.zeros(buffer.size, np.float32)
         for span, key, inner in _entries(buffer, owner):
             at[: key.size] += self.table.take(key) * (inner * np.float32(DECAY**span))
         return np.bincount(owner, at, len(scale)) * scale + self.bias
 
-    def margins(self, words: list[bytes]) -> np.ndarray:
-        return self._sums(*_marked(words))
-
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of each text by its worst window."""
         return sigmoid(self.a * self.worst(texts) + self.b)
 
     def worst(self, texts: list[str]) -> np.ndarray:
-        """The margin of the worst window of each text."""
+        """The margin of the worst window of each text.
+
+        Windows share what lies inside them: the weights of all subsequences of letters are summed along the text, those
+        with a mark at each word's ends, and a window takes the difference of two sums, and the ends that are its own.
+        """
         self._get_ready()
-        letters, start, size, own = windows([self.coder.codes(t) for t in texts])
-        worst = np.full(len(texts), self.bias)
-        for i, k in chunks(size + 2, 1 << 20):
-            lens = size[i:k] + 2
-            owner = np.repeat(np.arange(k - i, dtype=np.int32), lens)
-            ends = np.cumsum(lens)
-            place = np.arange(ends[-1]) - np.repeat(ends - lens, lens) + np.repeat(start[i:k] - 1, lens)
-            buffer = letters.take(place, mode="clip").astype(np.int32)
-            buffer[ends - lens], buffer[ends - 1] = HEAD, TAIL
-            got = self._sums(buffer, owner, _scale(lens))
-            order = np.argsort(own[i:k], kind="stable")
-            mine = own[i:k][order]
-            cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            np.maximum.at(worst, mine[cuts], np.maximum.reduceat(got[order], cuts))
-        return worst
+        letters, bound, first, last, own = spans([self.coder.codes(t) for t in texts])
+        if not first.size:
+            return np.full(len(texts), self.bias)
+        count, edge = letters.size, max(c for _, _, c in PATTERNS)
+        x = np.concatenate([np.zeros(edge, np.int32), letters, np.zeros(edge, np.int32)])  # letter i stands at edge + i
+        start, size = bound[first], bound[last] - bound[first]
+        total = np.zeros(first.size)
+        look = lambda a, b, c, d: self.table.take(((a * SIZE + b) * SIZE + c) * SIZE + d)
+        for c in sorted({c for _, _, c in PATTERNS}):
+            inner, heads, tails = np.zeros(count, np.float32), np.zeros(bound.size, np.float32), np.zeros(bound.size, np.float32)
+            short = np.flatnonzero(size == c - 1)  # both marks lie c apart
+            both = np.zeros(short.size, np.float32)
+            at, before, after = np.arange(count) + edge, bound + edge - 1, bound + edge - c
+            s = start[short] + edge - 1
+            for i, j, _ in (p for p in PATTERNS if p[2] == c):
+                inner += look(x[at], x[at + i], x[at + j], x[np.minimum(at + c, x.size - 1)])
+                heads += look(HEAD, x[np.minimum(before + i, x.size - 1)], x[np.minimum(before + j, x.size - 1)], x[np.minimum(before + c, x.size - 1)])
+                tails += look(x[after], x[after + i], x[after + j], TAIL)
+                both += look(HEAD, x[s + i], x[s + j], TAIL)
+            sums = np.concatenate([[0.0], np.cumsum(inner, dtype=np.float64)])
+            some = np.zeros(first.size)
+            long = np.flatnonzero(size > c)
+            some[long] = sums[start[long] + size[long] - c] - sums[start[long]]
+            marked = np.flatnonzero(size >= c)
+            some[marked] += heads[first[marked]] + tails[last[marked]]
+            some[short] += both
+            total += some * DECAY ** (c + 1)
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, own, total * _scale(size + 2) + self.bias)
+        return np.where(np.isinf(worst), self.bias, worst)
 
 
 def _hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -200,12 +225,26 @@ def _hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -
     return w[:-1], float(w[-1])
 
 
-def _unlike(bags: list[set[bytes]]) -> list[int]:
+def _hashes(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window."""
+    codes, letters, base = letters, letters.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    out, power = np.zeros(start.size, np.uint64), np.uint64(1)
+    live = np.flatnonzero(size <= 2 * PHRASE)
+    for k in range(2 * PHRASE):
+        live = live[size[live] > k]
+        out[live] += letters[start[live] + k] * power
+        power = power * base
+    for i in np.flatnonzero(size > 2 * PHRASE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(codes[start[i] : start[i] + size[i]].tobytes())
+    return mix64(out + size.astype(np.uint64) * base)
+
+
+def _unlike(bags: list[np.ndarray]) -> list[int]:
     """Rows that share fewer than 10 of the 12 least window hashes with each row kept before: copies would count twice."""
     seen: dict[int, list[int]] = {}
     kept = []
     for i, bag in enumerate(bags):
-        least = sorted(map(xxhash.xxh3_64_intdigest, bag))[:12]
+        least = bag[:12].tolist()
         shared = Counter(k for h in least for k in seen.get(h, ()))
         if max(shared.values(), default=0) < min(10, max(1, len(least))):
             kept.append(i)
@@ -214,49 +253,75 @@ def _unlike(bags: list[set[bytes]]) -> list[int]:
     return kept
 
 
+def _bags(codes: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The windows of each text as places in a list of windows: single words, and what comes in two texts at least."""
+    hashed, single = [], []
+    for c in codes:
+        letters, start, size, _ = windows([c])
+        h = _hashes(letters, start, size)
+        hashed.append(np.unique(h))
+        single.append(np.unique(h[: np.count_nonzero((c > 0) & ~np.concatenate([[False], c[:-1] > 0]))]))
+    every, n = np.unique(np.concatenate(hashed), return_counts=True)
+    every = every[(n > 1) | np.isin(every, np.concatenate(single))]
+    names: list[bytes] = [b""] * every.size
+    bags = []
+    for c in codes:
+        letters, start, size, _ = windows([c])
+        h, first = np.unique(_hashes(letters, start, size), return_index=True)
+        at = np.minimum(np.searchsorted(every, h), every.size - 1)
+        ok = every[at] == h if every.size else np.zeros(0, bool)
+        at, first = at[ok], first[ok]
+        bags.append(at)
+        flat = letters.tobytes()
+        for k, s, m in zip(at.tolist(), start[first].tolist(), size[first].tolist(), strict=True):
+            if not names[k]:
+                names[k] = flat[s : s + m]
+    return bags, names
+
+
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
     if len(set(y.tolist())) < 2:
         return None
     counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
     letters = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
     coder = Coder(letters)
-    bags = [coder.words(t) for t in texts]
-    alone = _unlike(bags)
-    texts, bags, y, weight = [texts[i] for i in alone], [bags[i] for i in alone], y[alone], weight[alone]
+    codes = [coder.codes(t) for t in texts]
+    alone = _unlike([np.unique(_hashes(*windows([c])[:3])) for c in codes])
+    texts, codes, y, weight = [texts[i] for i in alone], [codes[i] for i in alone], y[alone], weight[alone]
     if len(set(y.tolist())) < 2:
         return None
-    # of windows of several words, those that come in two documents at least can tell
-    held = Counter(w for b in bags for w in b)
-    single = {w for t in texts for w in coder.codes(t).tobytes().split(b"\x00")}
-    bags = [{w for w in b if held[w] > 1 or w in single} for b in bags]
-    toxic, clean = Counter(), Counter()
-    for bag, mark in zip(bags, y.tolist(), strict=True):
-        (toxic if mark else clean).update(bag)
-    n_toxic, n_clean = int(y.sum()), int((1 - y).sum())
-    odds = {w: np.log((n + 0.1) / n_toxic) - np.log((clean[w] + 0.1) / n_clean) + 0.3 * np.log(n) for w, n in toxic.items()}
-    toxic_bags = [sorted(b) for b, mark in zip(bags, y.tolist(), strict=True) if mark and b]
-    witnesses = [max(b, key=odds.__getitem__) for b in toxic_bags]
+    bags, names_of = _bags(codes)
+    size, marked = len(names_of), y.astype(bool)
+    count = lambda keep: np.bincount(np.concatenate([b for b, k in zip(bags, keep, strict=True) if k] or [np.zeros(0, np.int64)]), minlength=size)
+    toxic, clean = count(marked), count(~marked)
+    n_toxic, n_clean = int(marked.sum()), int((~marked).sum())
+    odds = np.log((toxic + 0.1) / n_toxic) - np.log((clean + 0.1) / n_clean) + 0.3 * np.log(np.maximum(toxic, 1))
+    toxic_bags = [b for b, k in zip(bags, marked, strict=True) if k and b.size]
+    witnesses = [int(b[np.argmax(odds[b])]) for b in toxic_bags]
     witnesses = [w for w in witnesses if clean[w] == 0 and toxic[w] > 1] or witnesses
     chance = n_toxic / (n_toxic + n_clean)
-    telling = [w for w, n in toxic.items() if clean[w] == 0 and n > 2 and chance**n < 1e-4]
+    telling = np.flatnonzero((clean == 0) & (toxic > 2) & (chance ** np.minimum(toxic, 60) < 1e-4)).tolist()
     rng = np.random.default_rng(SEED)
-    known = sorted(set(clean), key=lambda w: (-clean[w], w))
+    known = np.flatnonzero(clean > 0)
+    known = known[np.lexsort((known, -clean[known]))].tolist()
     hard = known[:3000] + known[3000 :: max(1, len(known) // 3000)]
     edge = known  # windows of clean documents that the machine should know first
     machine = None
-    for turn in range(4):
+    for turn in range(TURNS):
         positive = Counter(witnesses)
-        positive.update({w: toxic[w] for w in telling})
-        names = sorted(positive, key=lambda w: (-positive[w], w))[:2000]
+        positive.update({w: int(toxic[w]) for w in telling})
+        chosen = sorted(positive, key=lambda w: (-positive[w], w))[:2000]
+        names = [names_of[w] for w in chosen]
         whole = len(names)
         for w in names[:300]:
             if len(w) > 3:
                 cut = int(rng.integers(1, len(w)))
                 names.append(w[:cut] + bytes((int(rng.integers(1, LETTERS)),)) + w[cut:])
         marks = [*names[: min(whole, LANDMARKS // 2)]]
-        marks += [w for w in edge[:LANDMARKS] if w not in positive][: LANDMARKS - len(marks)]
-        rows = names + [w for w in dict.fromkeys(hard) if w not in positive]
-        target = np.concatenate([np.ones(len(names)), -np.ones(len(rows) - len(names))])
+        marks += [names_of[w] for w in edge[:LANDMARKS] if w not in positive][: LANDMARKS - len(marks)]
+        against = [w for w in dict.fromkeys(hard) if w not in positive]
+        rows = names + [names_of[w] for w in against]
+        target = np.concatenate([np.ones(len(names)), -np.ones(len(against))])
         lw, lk, lx = subsequences(marks)
         keys, at = np.unique(lk, return_inverse=True)
         land = np.zeros((len(keys), len(marks)), np.float32)
@@ -264,26 +329,23 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Machine | None:
         gram = land.T @ land
         value, vector = np.linalg.eigh(gram.astype(float) + 1e-4 * np.eye(len(marks)))
         root = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-        fold = land.astype(float) @ root  # a row a subsequence: its share in each mapped feature
-        z = np.zeros((len(rows), len(marks)))
+        fold = land @ root.astype(np.float32)  # a row a subsequence: its share in each mapped feature
+        z = np.zeros((len(rows), len(marks)), np.float32)
         rw, rk, rx = subsequences(rows)
         place = np.minimum(np.searchsorted(keys, rk), max(0, len(keys) - 1))
         ok = keys[place] == rk if len(keys) else np.zeros(len(rk), bool)
         rw, place, rx = rw[ok], place[ok], rx[ok]
-        for a in range(0, len(rows), 1000):
-            lo, hi = np.searchsorted(rw, [a, a + 1000])
+        for a in range(0, len(rows), 150):
+            lo, hi = np.searchsorted(rw, [a, a + 150])
             if hi > lo:
                 cuts = np.flatnonzero(np.concatenate([[True], rw[lo + 1 : hi] != rw[lo : hi - 1]]))
                 z[rw[lo:hi][cuts]] = np.add.reduceat(fold[place[lo:hi]] * rx[lo:hi, None], cuts)
-        cost = np.where(target > 0, 10.0 * np.sqrt(np.array([positive.get(w, 0.05) for w in rows])), 6.0 * np.sqrt(np.array([1.0 + clean[w] for w in rows])))
+        cost = np.concatenate([10.0 * np.sqrt([positive[w] for w in chosen]), np.full(len(names) - whole, 10.0 * np.sqrt(0.05)), 6.0 * np.sqrt(1.0 + clean[against])])
         w, bias = _hinge(z, target, cost)
         machine = Machine(letters, keys, (fold @ w).astype(np.float32), bias, 1.0, 0.0)
-        if turn < 3:
-            margin = {}
-            for words in (sorted(toxic), known):
-                for i, k in slices(np.array([len(x) for x in words]), 1 << 20):
-                    margin.update(zip(words[i:k], machine.margins(words[i:k]).tolist(), strict=True))
-            best = [max(b, key=lambda x: margin[x] - 0.5 * min(4, clean[x])) for b in toxic_bags]
+        if turn < TURNS - 1:
+            margin = np.concatenate([machine.margins(names_of[i:k]) for i, k in slices(np.array([len(x) for x in names_of]), 1 << 18)])
+            best = [int(b[np.argmax(margin[b] - 0.5 * np.minimum(4, clean[b]))]) for b in toxic_bags]
             witnesses = [x for x in best if margin[x] > -0.5 and clean[x] * n_toxic <= toxic[x] * n_clean * 0.2] or witnesses
             worst = sorted(known, key=lambda x: (-margin[x], x))[:3000]
             edge = worst

@@ -493,6 +493,20 @@ def test_kernel_matches_plain_enumeration():
     assert {(o, flat.tobytes()[a : a + n]) for a, n, o in zip(start.tolist(), size.tolist(), own.tolist(), strict=True)} == {(0, b"\1\2"), (0, b"\3"), (0, b"\4\5\6"), (0, b"\1\2\3"), (0, b"\3\4\5\6"), (0, b"\1\2\3\4\5\6"), (2, b"\7")}
 
 
+def test_margins_along_a_text_are_those_of_its_windows():
+    rnd = random.Random(19)
+    letters = "abcdefgh"
+    keys = np.array(sorted(rnd.sample(range(toxicity.SIZE**4), 200_000)))
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
+    k = toxicity.subsequences([bytes([toxicity.HEAD])] + [bytes(letters.index(c) + 1 for c in w) for w in words])[1]
+    keys = np.unique(np.concatenate([keys, k]))
+    m = toxicity.Machine(letters, keys, np.random.default_rng(1).normal(size=keys.size).astype(np.float32), 0.25, 1.0, 0.0)
+    texts = ["", "a", "ab", "abc d", "a b c d e f g h a b c d e f g", " ".join(words[:50]), "!? 12", "x".join(words), "\n".join(words[50:60]) + "ab"]
+    got = m.worst(texts)
+    want = [max(m.margins(sorted(b))) if (b := m.coder.words(t)) else m.bias for t in texts]
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_insults_of_several_words():
     rnd = random.Random(17)
     vocab = ["".join(rnd.choice(("ta", "ne", "lo", "mir", "sul", "dra")) for _ in range(2)) for _ in range(60)]
