@@ -30,7 +30,7 @@ from prosespark.llm.common import materialize, packed
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
 #: Sums that the dynamic programme holds at most, its cells (sums times items), and hash buckets a size.
-SUMS, WORK, BUCKETS = 1 << 24, 20_000_000_000, 4096
+SUMS, WORK, BUCKETS = 1 << 22, 500_000_000, 4096
 
 
 def size_of(text: str) -> Column:
