@@ -137,17 +137,6 @@ def letter_table(codes: dict[str, int], rest: int, other: int) -> np.ndarray:
     return np.where(lower < 0, np.uint16(other), of[lower])
 
 
-def chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """As slices, for many small sizes."""
-    ends = np.cumsum(sizes)
-    start = 0
-    while start < len(sizes):
-        done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
-        yield start, stop
-        start = stop
-
-
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Cut rows into runs whose sizes sum to limit at most, or that hold one row."""
     start, total = 0, 0

@@ -227,16 +227,16 @@ def _hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -
 
 def _hashes(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each window."""
-    codes, letters, base = letters, letters.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
-    out, power = np.zeros(start.size, np.uint64), np.uint64(1)
+    codes, letters, power = letters, letters.astype(np.uint64), 1
+    out = np.zeros(start.size, np.uint64)
     live = np.flatnonzero(size <= 2 * PHRASE)
     for k in range(2 * PHRASE):
         live = live[size[live] > k]
-        out[live] += letters[start[live] + k] * power
-        power = power * base
+        out[live] += letters[start[live] + k] * np.uint64(power)
+        power = power * 0x9E3779B97F4A7C15 % (1 << 64)
     for i in np.flatnonzero(size > 2 * PHRASE).tolist():
         out[i] = xxhash.xxh3_64_intdigest(codes[start[i] : start[i] + size[i]].tobytes())
-    return mix64(out + size.astype(np.uint64) * base)
+    return mix64(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _unlike(bags: list[np.ndarray]) -> list[int]:
