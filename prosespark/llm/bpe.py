@@ -247,7 +247,7 @@ class Encoder:
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The labels of each pre-split word."""
         out: list[list[int]] = [[]] * len(pieces)
-        short = [k for k, p in enumerate(pieces) if len(p) <= LONG]
+        short = [k for k, p in enumerate(pieces) if 0 < len(p) <= LONG]
         for k, p in enumerate(pieces):
             if len(p) > LONG:
                 out[k] = self._long(p)
@@ -344,8 +344,8 @@ class Encoder:
         return out[::-1]
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
-        got = self.encode_pieces([b"" if p[0] == " " else p.encode("utf-8", "replace") for p in pieces])
-        return [[self.special[p[1:]]] if p[0] == " " else x for p, x in zip(pieces, got, strict=True)]
+        got = iter(self.encode_pieces([p.encode("utf-8", "replace") for p in pieces if p[0] != " "]))
+        return [[self.special[p[1:]]] if p[0] == " " else next(got) for p in pieces]
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)

@@ -53,7 +53,7 @@ def encoder():
     return bpe.Encoder(VOCABULARY)
 
 
-ODD = ["", " ", "İstanbul ΣΑΣ ﬁ é", "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>", "don't 'S we'LL \x1c \x85 \xa0x", "aaaaaaaaa" * 9, "!" * 50, "日本語😀e\u0301", "ooo" * 20 + "x", "H\u0331 \u1e96", "\u0378\ua7ce\U00010945", "\U00010400\U00010428", "ab\u0301c\u00adx", "x" * 70 + " " + "\u00e9" * 70]
+ODD = ["", " ", "<|endoftext|>", "<|endoftext|> <|endoftext|>", "İstanbul ΣΑΣ ﬁ é", "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>", "don't 'S we'LL \x1c \x85 \xa0x", "aaaaaaaaa" * 9, "!" * 50, "日本語😀e\u0301", "ooo" * 20 + "x", "H\u0331 \u1e96", "\u0378\ua7ce\U00010945", "\U00010400\U00010428", "ab\u0301c\u00adx", "x" * 70 + " " + "\u00e9" * 70]
 
 
 def test_automaton_encodes_as_the_library(encoder, library):
@@ -65,6 +65,8 @@ def test_automaton_encodes_as_the_library(encoder, library):
         want = library.encode(t, add_special_tokens=False).ids
         assert encoder.encode(t) == want
         assert encoder.decode(want) == library.decode(want, skip_special_tokens=False)
+        encoder.memory.forget()
+        assert encoder.digests([t])[0][0] == len(want)
         assert np.frombuffer(own.encode(t), np.uint16).tolist() == want
 
 
