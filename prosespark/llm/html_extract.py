@@ -245,7 +245,7 @@ class Page:
         self.forms: list[tuple[int, int]] = []  # numbers of skipped forms, and characters in each
         self.opened = opened = Opened()
         self.held: list[str] = []
-        self.linked, in_link, heading = 0, False, False
+        self.linked, in_link = 0, False
         open_containers: list[int] = []
         containers = number = skipped = seen = 0
         for raw, name, closing, attrs in tags(page):
@@ -264,7 +264,7 @@ class Page:
             alone = name in VOID or attrs.endswith("/")
             skipping = opened.root >= 0
             if not skipping and name in BLOCKS:
-                self._flush(open_containers, heading)
+                self._flush(open_containers)
             if skipping:
                 if name == "form" and not closing and opened.open("form"):
                     continue
@@ -281,12 +281,11 @@ class Page:
                 opened.end(name)
             else:
                 opened.start(name)
-            heading = name in HEADINGS and not closing
             if not closing and name not in WRAPPERS:
                 number += 1
                 if name in UNSEEN or (number not in wrappers and _aside(name, attrs, bool(open_containers))):
                     if name not in UNSEEN or name in ("head", "title"):
-                        self._flush(open_containers, False)
+                        self._flush(open_containers)
                     if not alone:
                         opened.push(name, attrs)
                         opened.root = len(opened.names) - 1
@@ -304,13 +303,13 @@ class Page:
             elif name in CONTAINERS:
                 containers += 1
                 open_containers.append(containers)
-        self._flush(open_containers, False)
+        self._flush(open_containers)
 
-    def _flush(self, containers: list[int], heading: bool) -> None:
+    def _flush(self, containers: list[int]) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
             if text:
-                self.lines.append(Line(text, self.linked, containers[-1] if containers else 0, self.opened.group, heading))
+                self.lines.append(Line(text, self.linked, containers[-1] if containers else 0, self.opened.group, self.opened.last(HEADINGS) >= 0))
             self.held.clear()
         self.linked = 0
 

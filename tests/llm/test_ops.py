@@ -595,6 +595,7 @@ def test_short_stretches_of_a_body_without_container():
     ads = "<div class=ad>Buy</div>" * 9
     assert m(f"<body><div><h1>Title</h1>{ads}<p>{long}</p>{ads}<p>Short last paragraph.</p></div></body>") == want
     links = "<ul>" + "<li><a href=x>Some other story</a></li>" * 9 + "</ul>"
+    assert m(f"<body><section><h1><b>Title</b></h1></section><section><p>{long}</p><p>End.</p></section><section><p>Buy</p></section></body>") == f"Title\n{long}\nEnd."
     assert m(f"<body><div>{links}</div><nav>Menu</nav>{page}<aside>Aside</aside>{links}<aside>x</aside>{links}<form>Mail</form><div>Far away</div></body>") == want
     assert m(f"<body><div><h1>Title</h1></div><nav>Menu</nav><div>{long}</div><div class=ad>Buy</div><div>Short last paragraph.</div></body>") == want
 
