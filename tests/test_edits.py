@@ -135,28 +135,33 @@ def test_damage_to_markdown_is_rejected(spark):
 
 def test_a_false_ledger_is_rejected_before_anything_else(verdicts):
     _, cases, docs, whole = verdicts
+    few = cases.where("doc_id < 3")
     entries, urls = ledger.entries(ledger.regions(docs)), spans.url_spans(docs)
-    for false, spans_ in ((entries.withColumn("text_hash", F.lit("0" * 64)), urls), (entries.withColumn("confidence", F.lit(1001)), urls), (entries, urls.withColumn("sha256", F.lit("0")))):
-        got = verify.verify(cases, false, spans_, whole, "said").collect()
-        assert {(r.decision, r.n_ledger, r.semantic_status, r.n_reject, r.shippable) for r in got} == {("REJECT", 1, "not_run", 0, False)}
+    false = entries.withColumn("text_hash", F.when(F.col("doc_id") == 0, F.lit("0" * 64)).otherwise(F.col("text_hash"))).withColumn("confidence", F.when(F.col("doc_id") == 1, F.lit(1001)).otherwise(F.col("confidence")))
+    got = verify.verify(few, false, urls.withColumn("sha256", F.when(F.col("doc_id") == 2, F.lit("0")).otherwise(F.col("sha256"))), whole, "said").collect()
+    assert len(got) == 3 and {(r.decision, r.n_ledger, r.semantic_status, r.n_reject, r.shippable) for r in got} == {("REJECT", 1, "not_run", 0, False)}
 
 
-def test_findings_without_hunks_leave_none_revertable(verdicts):
-    _, cases, docs, whole = verdicts
+def test_findings_without_hunks_leave_none_revertable(spark):
+    outputs = ["e0_numbers@0", "e0_numbers@other", "", '{"verdict":"real","concerns":"x"}', '{"verdict":"real","concerns":["x"]}', '{"verdict":"clean"}', '{"verdict":"clean"}', "whole"]
+    texts = [(at("Fine words"), "Good words")] * 6 + [(at("Fine words"), "Robust words"), (at("200"), "")]
+    cases = spark.createDataFrame([case(i, TEXT, (*place, new)) for i, (place, new) in enumerate(texts)], SCHEMA)
+    docs = spark.createDataFrame([(i, TEXT) for i in range(8)], "doc_id bigint, text string")
+    whole = docs.select("doc_id", F.lit(0).cast("bigint").alias("start_byte"), F.octet_length("text").cast("bigint").alias("end_byte"))
     entries, urls = ledger.entries(ledger.regions(docs)), spans.url_spans(docs)
-    got = {r.doc_id: r for r in verify.hunk_decisions(cases, verify.found(cases, entries, urls, whole, "said")).collect()}
-    assert (got[1].decision, got[1].revertable) == ("REJECT", True) and (got[5].decision, got[5].revertable) == ("ACCEPT", False) and got[6].revertable
-    place = entries.where("doc_id = 6").orderBy("start_byte").first()
-    other = entries.where("doc_id = 6").where(F.col("start_byte") != place.start_byte).first()
+    own, other = (tuple(r)[:2] for r in entries.where("doc_id = 0").select("start_byte", "end_byte").distinct().orderBy("start_byte").collect()[:2])
+
     def said(ids, *ranges):
         return json.dumps({"verdict": "real", "concerns": [{"entry_ids": ids, "original_ranges": [{"start_byte": a, "end_byte": b} for a, b in ranges]}]})
-    outputs = [said([place.entry_id], (place.start_byte, place.end_byte)), said([place.entry_id], (other.start_byte, other.end_byte)), said([]), '{"verdict":"real","concerns":"x"}', '{"verdict":"real","concerns":["x"]}']
-    want = [("REJECT", "real", False), ("SURFACE", "ambiguous", True), ("REJECT", "real", False), ("SURFACE", "ambiguous", True), ("SURFACE", "ambiguous", True)]
-    for text, (decision, status, revertable) in list(zip(outputs, want, strict=True))[:3]:
-        one = cases.where("doc_id = 6").withColumn("o", F.lit(text))
-        r = verify.verify(one, entries, urls, whole, output="o").first()
-        h = verify.hunk_decisions(one, verify.found(one, entries, urls, whole, output="o")).first()
-        assert (r.decision, r.semantic_status, h.revertable) == (decision, status, revertable), text
+
+    outputs[0], outputs[1], outputs[2], outputs[7] = said(["e0_numbers"], own), said(["e0_numbers"], other), said([]), said(["e0_numbers"], own)
+    cases = cases.join(spark.createDataFrame(list(enumerate(outputs)), "doc_id bigint, o string"), "doc_id")
+    got = {r.doc_id: (r.decision, r.semantic_status) for r in verify.verify(cases, entries, urls, whole, output="o").collect()}
+    hunks = {r.doc_id: (r.decision, r.revertable) for r in verify.hunk_decisions(cases, verify.found(cases, entries, urls, whole, output="o")).collect()}
+    assert [got[i] for i in range(6)] == [("REJECT", "real"), ("SURFACE", "ambiguous"), ("REJECT", "real"), ("SURFACE", "ambiguous"), ("SURFACE", "ambiguous"), ("ACCEPT", "clean")]
+    assert got[6] == ("REJECT", "clean") and got[7] == ("REJECT", "real")
+    # a concern about another place, a global one and a new claim implicate no hunk
+    assert [hunks[i][1] for i in range(8)] == [False, True, False, True, True, True, False, True] and hunks[7][0] == "REJECT" and hunks[6][0] == "ACCEPT"
 
 
 def test_canonical_ledger_is_sorted_json(spark):
