@@ -10,7 +10,7 @@ from prosespark.functions import text as T
 
 
 def length_bucket(text: Column) -> Column:
-    n = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    n = F.regexp_count(text, F.lit(r"(?U)\S++"))
     return F.when(n < 150, F.lit("short")).when(n < 600, F.lit("medium")).otherwise(F.lit("long"))
 
 
