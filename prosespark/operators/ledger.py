@@ -47,8 +47,7 @@ def entries(regions_: DataFrame) -> DataFrame:
 
 def _counted(xs: Column) -> Column:
     """A multiset as a map, its atoms in order."""
-    distinct = F.array_sort(F.array_distinct(xs))
-    return F.map_from_entries(F.transform(distinct, lambda a: F.struct(a.alias("atom"), F.size(F.filter(xs, lambda x: x == a)).alias("n"))))
+    return F.map_from_entries(A.counts(xs))
 
 
 def _extracted_json(kind: Column, text: Column) -> Column:

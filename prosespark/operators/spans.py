@@ -87,7 +87,7 @@ def url_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row a protected URL: start_byte, end_byte, sha256, kind."""
     def places(pattern: str) -> Column:
         # cut the text at each match: pieces before matches and matches themselves give byte offsets
-        marked = F.regexp_replace(F.translate(F.col(text), "\x1e\x1f", "  "), pattern, "\x1f$0\x1e")
+        marked = F.regexp_replace(F.replace(F.replace(F.col(text), F.lit("\x1e"), F.lit(" ")), F.lit("\x1f"), F.lit(" ")), pattern, "\x1f$0\x1e")
         parts = F.split(marked, "\x1f", -1)
         pieces = F.transform(parts, lambda p: F.struct(F.when(F.instr(p, "\x1e") > 0, F.octet_length(F.substring_index(p, "\x1e", 1))).otherwise(F.lit(0)).alias("m"), F.when(F.instr(p, "\x1e") > 0, F.octet_length(F.substring_index(p, "\x1e", -1))).otherwise(F.octet_length(p)).alias("rest")))
         folded = F.aggregate(
@@ -101,7 +101,9 @@ def url_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         )
         return folded
 
-    found = F.concat(*[places(p) for p in T._URLS])
-    rows = docs.select("doc_id", F.col(text).cast("binary").alias("__c"), F.explode(resolve(found)).alias("s"))
+    none = F.array().cast("array<struct<start_byte:int,end_byte:int,kind:string>>")
+    found = F.concat(*[F.when(may(F.col(text)), places(p)).otherwise(none) for p, may in zip(T._URLS, T._MAY_BE_URL, strict=True)])
+    rows = T.once(T.once(docs.select("doc_id", text), __found=found), __kept=F.when(F.size("__found") > 0, resolve(F.col("__found"))))
+    rows = rows.select("doc_id", F.col(text).cast("binary").alias("__c"), F.explode("__kept").alias("s"))
     sha = F.sha2(F.expr("substring(__c, s.start_byte + 1, s.end_byte - s.start_byte)"), 256)
     return rows.select("doc_id", F.col("s.start_byte").cast("bigint").alias("start_byte"), F.col("s.end_byte").cast("bigint").alias("end_byte"), sha.alias("sha256"), F.col("s.kind").alias("kind"))
